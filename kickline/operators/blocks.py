@@ -36,13 +36,13 @@ def hot_spans(df: DataFrame, keys: list[str], time: str) -> DataFrame | None:
     do not depend on the order of rows, so every reader sees the same grid.
     """
     limit = rows_per_block(df.sparkSession)
+    blocks = F.ceil(F.col("_n") / limit) * OVERSPLIT
+    span = F.col("_hi") - F.col("_lo")
+    whole = dict(df.dtypes)[time] in ("tinyint", "smallint", "int", "bigint")
     spans = (df.groupBy(*keys)
              .agg(F.count(F.lit(1)).alias("_n"), F.min(time).alias("_lo"), F.max(time).alias("_hi"))
-             .filter(F.col("_n") > limit)
-             .filter(F.col("_hi") > F.col("_lo"))
-             .select(*keys, "_lo",
-                     F.ceil((F.col("_hi") - F.col("_lo") + 1)
-                            / (F.ceil(F.col("_n") / limit) * OVERSPLIT)).alias("_width")))
+             .filter((F.col("_n") > limit) & (span > 0))
+             .select(*keys, "_lo", (F.ceil((span + 1) / blocks) if whole else span / blocks).alias("_width")))
     if spans.isEmpty():
         return None
     return stage(spans, "hot-spans")

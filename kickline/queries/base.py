@@ -19,7 +19,7 @@ CTE: dict[str, str] = {
     "fx_match": """SELECT *, CASE WHEN home_goals > away_goals THEN 'home' WHEN home_goals = away_goals THEN 'draw' ELSE 'away' END AS result FROM (
         SELECT CAST(year(o_orderdate) AS INT) AS season, CAST((dayofyear(o_orderdate) - 1) // 7 + 1 AS INT) AS gameweek,
         o_orderkey AS fixture_id, epoch_us(o_orderdate) + o_orderkey AS kick, CAST(o_orderdate AS DATE) AS match_date,
-        hn.n_name AS home, an.n_name AS away, r_name AS division,
+        hn.n_name AS home, an.n_name AS away, r_name AS division, l_suppkey AS home_id, o_custkey AS away_id,
         CAST(l_quantity AS BIGINT) % 6 AS home_goals, CAST(floor(l_extendedprice) AS BIGINT) % 5 AS away_goals,
         CAST(l_quantity AS BIGINT) % 6 + l_partkey % 15 AS home_shots, CAST(floor(l_extendedprice) AS BIGINT) % 5 + o_custkey % 13 AS away_shots,
         CAST(l_quantity AS BIGINT) % 6 + (l_partkey % 15) // 2 AS home_sot, CAST(floor(l_extendedprice) AS BIGINT) % 5 + (o_custkey % 13) // 2 AS away_sot,
@@ -42,6 +42,8 @@ CTE: dict[str, str] = {
         UNION ALL
         SELECT season, gameweek, fixture_id, kick, false, away, home, away_goals, home_goals,
         away_shots, away_sot, away_corners, away_fouls, away_yellows + 2 * away_reds FROM fx_match)""",
+    "fx_club": """SELECT season, gameweek, fixture_id, kick, 'C' || CAST(away_id AS VARCHAR) AS team, away_goals AS gf, home_goals AS gc, away_shots AS shots,
+        CASE WHEN away_goals > home_goals THEN 3 WHEN away_goals = home_goals THEN 1 ELSE 0 END AS pts FROM fx_match""",
     "fx_cut": "SELECT season, gameweek, min(kick) AS cutoff FROM fx_match GROUP BY season, gameweek",
     "fx_obj": "SELECT l.season, l.gameweek, l.fixture_id, l.kick, l.is_home, l.team, l.rival, c.cutoff FROM fx_long l JOIN fx_cut c USING (season, gameweek)",
     "fx_player": """SELECT season, gameweek, fixture_id, kick, CASE WHEN l_linenumber % 2 = 1 THEN home ELSE away END AS team,

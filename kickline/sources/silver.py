@@ -70,6 +70,7 @@ def _build_match(spark: SparkSession, sf: str) -> DataFrame:
                 F.year("o_orderdate").alias("season"), gameweek_of(F.col("o_orderdate")).alias("gameweek"),
                 ok.alias("fixture_id"), (micros("o_orderdate") + ok).alias("kick"),
                 F.to_date("o_orderdate").alias("match_date"), "home", "away", "division",
+                sk.alias("home_id"), ck.alias("away_id"),
                 hg.alias("home_goals"), ag.alias("away_goals"),
                 (hg + pk % 15).alias("home_shots"), (ag + ck % 13).alias("away_shots"),
                 (hg + F.floor((pk % 15) / 2)).alias("home_sot"), (ag + F.floor((ck % 13) / 2)).alias("away_sot"),
@@ -105,6 +106,14 @@ def team_match(spark: SparkSession, sf: str) -> DataFrame:
             .withColumns({"pts": points("gf", "gc").cast("long"), "gd": F.col("gf") - F.col("gc")}))
 
 
+def club_match(spark: SparkSession, sf: str) -> DataFrame:
+    """The visitor's view with the customer as the club: clubs that come and go between seasons."""
+    return match(spark, sf).select(
+        "season", "gameweek", "fixture_id", "kick", F.concat(F.lit("C"), F.col("away_id").cast("string")).alias("team"),
+        F.col("away_goals").alias("gf"), F.col("home_goals").alias("gc"), F.col("away_shots").alias("shots"),
+        points("away_goals", "home_goals").cast("long").alias("pts"))
+
+
 def cutoffs(spark: SparkSession, sf: str) -> DataFrame:
     from kickline.operators.calendar import cutoff_per_gameweek
     return cutoff_per_gameweek(match(spark, sf), "kick")
