@@ -63,9 +63,9 @@ def used_at_or_after(df: DataFrame, used: dict[str, str], cutoff: str) -> DataFr
 
 
 def stale_rows(df: DataFrame, used: list[str], at: str, days: int = STALE_DAYS) -> DataFrame:
-    """Rows whose most recent history is older than `days`, with the age."""
+    """Rows whose most recent history is more than `days` whole days old, with the age."""
     latest = F.greatest(*used) if len(used) > 1 else F.col(used[0])
-    return df.withColumn("age_days", (F.col(at) - latest) / DAY_US).filter(F.col("age_days") > days)
+    return df.withColumn("age_days", F.floor((F.col(at) - latest) / DAY_US)).filter(F.col("age_days") > days)
 
 
 def foreign_division(df: DataFrame, file: str, div: str, expected: str) -> DataFrame:
@@ -98,10 +98,15 @@ def inference_coherence(df: DataFrame, target: str, split: str, current_season:
 
 
 def freshness(last_built: Column, last_played: Column, next_cutoff: Column, now_us: int) -> Column:
-    """Why the table should be rebuilt, or that it need not; just rebuilt wins for three hours."""
+    """Why the table should be rebuilt, or that it need not.
+
+    A gameweek that started while its results are not out yet is the source's
+    delay when the table was rebuilt within three hours.
+    """
+    passed = next_cutoff <= now_us
     recent = F.lit(now_us) - last_built < REBUILT_GRACE_HOURS * 3_600_000_000
-    return (F.when(recent, "just_rebuilt").when(last_played > next_cutoff, "stale_played_past_cutoff")
-            .when(F.lit(now_us) >= next_cutoff, "stale_cutoff_passed").otherwise("fresh"))
+    return (F.when(next_cutoff.isNull(), "nothing_to_predict").when(last_played >= next_cutoff, "played_past_cutoff")
+            .when(passed & recent, "waiting_for_source").when(passed, "cutoff_passed").otherwise("fresh"))
 
 
 def rule_table(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

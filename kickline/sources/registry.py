@@ -94,12 +94,17 @@ def append_new(emitted: DataFrame, group: list[str], keys: list[str], identity:
 
 
 def cleanup_plan(emitted: DataFrame, group: list[str], production_model: str) -> DataFrame:
-    """Per emission: keep the governing one among the production model's, drop its others, and
-    warn where a gameweek has none of that model."""
-    prod = emitted.filter(F.col("model") == production_model)
-    gov = governing(prod, group).select(*group, F.col("predicted_at").alias("_gov"))
+    """Per emission: what a clean-up would do.
+
+    Of the production model's emissions the governing one stays (marked when it
+    is late) and the rest go, together with the other models'. A gameweek without
+    any emission of that model is left alone with a warning.
+    """
+    gov = governing(emitted.filter(F.col("model") == production_model), group).select(
+        *group, F.col("predicted_at").alias("_gov"), "pre_deadline")
     e = emission_list(emitted, [*group, "model"]).drop("_start")
+    chosen = (F.col("model") == production_model) & (F.col("predicted_at") == F.col("_gov"))
     return (e.join(gov, group, "left")
-            .withColumn("action", F.when(F.col("_gov").isNull(), "warn")
-                        .when((F.col("model") == production_model) & (F.col("predicted_at") == F.col("_gov")), "keep")
-                        .otherwise("drop")).drop("_gov"))
+            .withColumn("action", F.when(F.col("_gov").isNull(), "warn").when(~chosen, "drop")
+                        .when(F.col("pre_deadline"), "keep").otherwise("keep_late"))
+            .drop("_gov", "pre_deadline"))
