@@ -8,6 +8,8 @@ Leagues, parameter points and seeds run side by side.
 
 from __future__ import annotations
 
+import functools
+import json
 import math
 from collections.abc import Callable, Iterator
 
@@ -15,6 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kickline.operators.blocks import hot_spans
+from kickline.session import stage
+
 # fixed values
 ELO_K, ELO_HOME, ELO_START, SEASON_PULL = 20.0, 65.0, 1500.0, 0.25
 PI_BASE, PI_DAMP = 10.0, 3.0
@@ -75,6 +80,14 @@ class EloState:
         return h + move, a - move, abs(score - expected), expected
 
 
+    def dump(self):
+        return [self.rating, self.season, {k: sorted(v) for k, v in self.members.items()}]
+
+    def load(self, saved) -> None:
+        self.rating, self.season = saved[0], saved[1]
+        self.members = {k: set(v) for k, v in saved[2].items()}
+
+
 class PiState:
     """Separate home and away ratings with transfer between them; predicts the goal difference."""
 
@@ -104,6 +117,13 @@ class PiState:
         return hh, ha, ah, aa, expected, abs(gap)
 
 
+    def dump(self):
+        return [self.at_home, self.on_road]
+
+    def load(self, saved) -> None:
+        self.at_home, self.on_road = saved
+
+
 class PoissonState:
     """Attack and defence by an online Poisson gradient, clipped, shrunk between seasons."""
 
@@ -136,38 +156,89 @@ class PoissonState:
         return ha, hd, aa, ad, lh, la
 
 
+    def dump(self):
+        return [self.attack, self.defence, self.season]
+
+    def load(self, saved) -> None:
+        self.attack, self.defence, self.season = saved
+
+
 def fold(matches: DataFrame, league: list[str], state: Callable, params: list[str] | None = None,
          extra: list[str] | None = None) -> DataFrame:
     """Runs `state` over each league (and parameter point) in match order, one output row per match.
 
     Matches are hash-partitioned by league and parameter point and sorted inside
     the partition; the function walks the sorted batches and starts afresh when
-    the key changes.
+    the key changes. The order of matches is the one thing that cannot be split,
+    so a league with more rows than one task should hold is folded in time chunks:
+    each chunk is written before the next starts from the ratings it left, and a
+    lost executor costs one chunk.
     """
     params, extra = params or [], extra or []
     keys = [*league, *params]
     rows = matches.select(*keys, *MATCH, *extra)
+    spans = hot_spans(rows, keys, "kick")
+    if spans is None:
+        return _fold_pass(rows.withColumn("saved", F.lit(None).cast("string")), keys, len(league), state, False)
+
+    lo, hi = rows.agg(F.min("kick"), F.max("kick")).first()
+    width = spans.agg(F.min("_width")).first()[0]
+    carried, parts = None, []
+    for start in range(lo, hi + 1, width):
+        part = rows.filter((F.col("kick") >= start) & (F.col("kick") < start + width)).withColumn(
+            "saved", F.lit(None).cast("string"))
+        if carried is not None:
+            # integers stay integers in the batches: the carried row sorts first without nulls
+            part = part.unionByName(carried.withColumns(
+                {"kick": F.lit(-(1 << 62)), "fixture_id": F.lit(-1), "season": F.lit(0), "gf": F.lit(0), "gc": F.lit(0)}),
+                allowMissingColumns=True)
+        out = stage(_fold_pass(part, keys, len(league), state, True), "fold")
+        carried = out.filter(F.col("saved").isNotNull()).select(*keys, "saved")
+        parts.append(out.filter(F.col("saved").isNull()).drop("saved"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _fold_pass(rows: DataFrame, keys: list[str], n_league: int, state: Callable, with_state: bool) -> DataFrame:
+    """One sorted walk. A row with `saved` carries the ratings to start from; with
+    `with_state` such a row is also emitted at the end of every key."""
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "kick", "fixture_id")
     keep = [*keys, "season", "kick", "fixture_id", "home", "away", "gf", "gc"]
     types = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", " + state.columns
+    fields = [f"`{c}` {types[c]}" for c in keep] + [state.columns] + (["saved string"] if with_state else [])
     names = [c.strip().split(" ")[0] for c in state.columns.split(",")]
+    n_keys = len(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, st = None, None
+
+        def closing(key) -> list:
+            return [(*key, *[None] * (len(keep) - n_keys), *[None] * len(names), json.dumps(st.dump()))]
+
+        def frame(values: list) -> pd.DataFrame:
+            cols = [*keep, *names, *(["saved"] if with_state else [])]
+            out = pd.DataFrame(values, columns=cols)
+            for c in ("season", "kick", "fixture_id", "gf", "gc"):
+                out[c] = out[c].astype("Int64")
+            return out
+
         for batch in batches:
             out = []
-            key_rows = batch[keys].itertuples(index=False, name=None)
-            for key, row in zip(key_rows, batch.itertuples(index=False)):
+            for row in batch.itertuples(index=False):
+                key = tuple(row[:n_keys])
                 if key != current:
-                    current, st = key, state(key[len(league):])
-                out.append(st.step(row))
-            done = batch[keep].copy()
-            for i, n in enumerate(names):
-                done[n] = [o[i] for o in out]
-            yield done
+                    if with_state and current is not None:
+                        out += closing(current)
+                    current, st = key, state(key[n_league:])
+                if with_state and isinstance(row.saved, str):
+                    st.load(json.loads(row.saved))
+                    continue
+                values = (*key, row.season, row.kick, row.fixture_id, row.home, row.away, row.gf, row.gc, *st.step(row))
+                out.append((*values, None) if with_state else values)
+            yield frame(out)
+        if with_state and current is not None:
+            yield frame(closing(current))
 
-    return ordered.mapInPandas(run, schema)
+    return ordered.mapInPandas(run, ", ".join(fields))
 
 
 def as_matches(df: DataFrame, gf: str = "home_goals", gc: str = "away_goals") -> DataFrame:
@@ -192,20 +263,20 @@ def elo_seeded(matches: DataFrame, league: list[str], division: str = "division"
 
 
 def pi_ratings(matches: DataFrame, league: list[str], rate: float = PI_LAMBDA, transfer: float = PI_GAMMA) -> DataFrame:
-    return fold(matches.withColumns({"_rate": F.lit(rate), "_transfer": F.lit(transfer)}), league, PiState, ["_rate", "_transfer"])
+    return fold(matches.withColumns({"rate": F.lit(rate), "transfer": F.lit(transfer)}), league, PiState, ["rate", "transfer"])
 
 
 def mean_log_goals(matches: DataFrame, league: list[str], train: list[int] | None = None) -> DataFrame:
     """log of the mean goals per team and match, over the training seasons when given."""
     rows = matches.filter(F.col("season").isin(train)) if train else matches
-    return rows.groupBy(*league).agg(F.log(F.greatest((F.avg("gf") + F.avg("gc")) / 2, F.lit(0.1))).alias("_mu"))
+    return rows.groupBy(*league).agg(F.log(F.greatest((F.avg("gf") + F.avg("gc")) / 2, F.lit(0.1))).alias("mu"))
 
 
 def attack_defence(matches: DataFrame, league: list[str], train: list[int] | None = None,
                    k: float = POISSON_K, edge: float = POISSON_HOME) -> DataFrame:
     mu = mean_log_goals(matches, league, train)
-    tagged = matches.join(mu, league).withColumns({"_k": F.lit(k), "_edge": F.lit(edge)})
-    return fold(tagged, league, PoissonState, ["_k", "_edge", "_mu"])
+    tagged = matches.join(mu, league).withColumns({"k": F.lit(k), "edge": F.lit(edge)})
+    return fold(tagged, league, PoissonState, ["k", "edge", "mu"])
 
 
 def _grid(df: DataFrame, a: str, xs: tuple, b: str, ys: tuple) -> DataFrame:
@@ -215,8 +286,8 @@ def _grid(df: DataFrame, a: str, xs: tuple, b: str, ys: tuple) -> DataFrame:
 
 def pi_grid(matches: DataFrame, league: list[str], train: list[int]) -> DataFrame:
     """Mean absolute goal error per grid point over the training seasons."""
-    run = fold(_grid(matches, "_rate", PI_LAMBDA_GRID, "_transfer", PI_GAMMA_GRID), league, PiState, ["_rate", "_transfer"])
-    return (run.filter(F.col("season").isin(train)).groupBy(F.col("_rate").alias("rate"), F.col("_transfer").alias("transfer"))
+    run = fold(_grid(matches, "rate", PI_LAMBDA_GRID, "transfer", PI_GAMMA_GRID), league, PiState, ["rate", "transfer"])
+    return (run.filter(F.col("season").isin(train)).groupBy("rate", "transfer")
             .agg(F.avg("error").alias("loss"), F.count(F.lit(1)).alias("n")))
 
 
@@ -224,10 +295,10 @@ def attack_defence_grid(matches: DataFrame, league: list[str], train: list[int])
     """Poisson deviance per grid point over the training seasons."""
     from kickline.functions.goals import deviance_term
     mu = mean_log_goals(matches, league, train)
-    tagged = _grid(matches.join(mu, league), "_k", POISSON_K_GRID, "_edge", POISSON_HOME_GRID)
-    run = fold(tagged, league, PoissonState, ["_k", "_edge", "_mu"])
+    tagged = _grid(matches.join(mu, league), "k", POISSON_K_GRID, "edge", POISSON_HOME_GRID)
+    run = fold(tagged, league, PoissonState, ["k", "edge", "mu"])
     dev = (F.avg(deviance_term(F.col("gf"), F.col("lam_home"))) + F.avg(deviance_term(F.col("gc"), F.col("lam_away")))) / 2
-    return (run.filter(F.col("season").isin(train)).groupBy(F.col("_k").alias("k"), F.col("_edge").alias("edge"))
+    return (run.filter(F.col("season").isin(train)).groupBy("k", "edge")
             .agg(dev.alias("loss"), F.count(F.lit(1)).alias("n")))
 
 

@@ -55,11 +55,14 @@ def head_to_head(long: DataFrame, obj: DataFrame | None = None) -> DataFrame:
     base = long.select("team", "rival", "is_home", "kick", "fixture_id", *stats)
     everything = running_mean(base, ["team", "rival"], ORDER, {f"a_{s}": s for s in stats}, ordinal="a_n")
     same_host = running_mean(base, ["team", "rival", "is_home"], ORDER, {f"c_{s}": s for s in stats}, ordinal="c_n")
+    cond = ["c_pts", "c_gf", "c_gc", "c_n"]
     obj = objectives(long) if obj is None else obj
-    sides = asof_attach(obj.select(*KEY, "team", "rival", "is_home", "cutoff"), ["team", "rival"], "cutoff",
-                        [History(everything, "kick", ["a_pts", "a_gf", "a_gc", "a_n"], tie="fixture_id")])
-    sides = asof_attach(sides, ["team", "rival", "is_home"], "cutoff",
-                        [History(same_host, "kick", ["c_pts", "c_gf", "c_gc", "c_n"], tie="fixture_id")])
+    # one union for the three histories of a pair
+    sides = asof_attach(obj.select(*KEY, "team", "rival", "is_home", "cutoff"), ["team", "rival"], "cutoff", [
+        History(everything, "kick", ["a_pts", "a_gf", "a_gc", "a_n"], tie="fixture_id"),
+        History(same_host.filter("is_home"), "kick", cond, tie="fixture_id", prefix="h_"),
+        History(same_host.filter(~F.col("is_home")), "kick", cond, tie="fixture_id", prefix="v_")])
+    sides = sides.withColumns({c: F.when(F.col("is_home"), F.col(f"h_{c}")).otherwise(F.col(f"v_{c}")) for c in cond})
     home, away = F.col("is_home"), ~F.col("is_home")
 
     def pick(cond, c, name):
