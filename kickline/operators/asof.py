@@ -23,7 +23,8 @@ class History:
     prefix: str = ""
 
 
-def asof_attach(objectives: DataFrame, by: list[str], at: str, histories: list[History]) -> DataFrame:
+def asof_attach(objectives: DataFrame, by: list[str], at: str, histories: list[History],
+                split: bool = True) -> DataFrame:
     """For each objective, the last row of every history strictly before its instant.
 
     All histories that share the keys go through one union and one window: at
@@ -51,14 +52,19 @@ def asof_attach(objectives: DataFrame, by: list[str], at: str, histories: list[H
             *[(F.struct(F.col(h.time).alias("_t"), *h.cols) if j == i else F.lit(None).cast(types[j])).alias(s)
               for j, s in enumerate(slots)]))
 
-    spans = hot_spans(union, by, "_t")
+    spans = None
+    if split:
+        keyed = objectives.select(*by, F.col(at).cast("long").alias("_t"))
+        for h in histories:
+            keyed = keyed.union(h.df.select(*by, F.col(h.time).cast("long").alias("_t")))
+        spans = hot_spans(keyed, by, "_t")
     part = by if spans is None else [*by, BLOCK]
     w = (Window.partitionBy(*part).orderBy("_t", "_tag", "_tie")
          .rowsBetween(Window.unboundedPreceding, 0))
     local = [F.last(s, ignorenulls=True).over(w).alias(f"_l{s}") for s in slots]
     if spans is None:
         seen = union.select("_tag", "_obj", *local).filter(F.col("_tag") == 0)
-        final = {s: F.col(f"_l{s}") for s in slots}
+        seen = seen.withColumnsRenamed({f"_l{s}": f"_f{s}" for s in slots})
     else:
         rows = with_block(union, by, "_t", spans)
         rank = F.struct("_t", "_tie")
@@ -71,11 +77,11 @@ def asof_attach(objectives: DataFrame, by: list[str], at: str, histories: list[H
         carry = ends.select(*by, BLOCK, *[F.last(s, ignorenulls=True).over(earlier).alias(f"_c{s}") for s in slots])
         rows = rows.select(*by, BLOCK, "_tag", "_obj", *local).filter(F.col("_tag") == 0)
         seen = add_carry(rows, carry, by, [f"_c{s}" for s in slots])
-        final = {s: F.coalesce(F.col(f"_l{s}"), F.col(f"_c{s}")) for s in slots}
+        seen = seen.select("_obj", *[F.coalesce(f"_l{s}", f"_c{s}").alias(f"_f{s}") for s in slots])
 
     out = []
     for h, s in zip(histories, slots):
         if h.used_time:
-            out.append(final[s]["_t"].alias(h.used_time))
-        out += [final[s][c].alias(f"{h.prefix}{c}") for c in h.cols]
-    return seen.select("_obj.*", *out)
+            out.append(f"_f{s}._t AS `{h.used_time}`")
+        out += [f"_f{s}.`{c}` AS `{h.prefix}{c}`" for c in h.cols]
+    return seen.selectExpr("_obj.*", *out)

@@ -30,7 +30,8 @@ def deadlines(fixtures: DataFrame, time: str, published: DataFrame | None = None
                     F.when(F.col("published_at").isNotNull(), "api").otherwise("derived").alias("deadline_source")))
 
 
-def gameweek_status(fixtures: DataFrame, played: Column, now_us: int, time: str = "kick") -> DataFrame:
+def gameweek_status(fixtures: DataFrame, played: Column, now_us: int, time: str = "kick",
+                    split: bool = True) -> DataFrame:
     """One row per (season, gameweek): counts of the gameweek and of all earlier fixtures.
 
     A fixture still unplayed seven days after its cut-off counts as postponed and
@@ -51,9 +52,9 @@ def gameweek_status(fixtures: DataFrame, played: Column, now_us: int, time: str
                 .agg(F.count(F.lit(1)).alias("_n"), F.count_if("_played").alias("_p"),
                      F.count_if("_waiting").alias("_w")))
     cum = running(instants, ["season"], [time],
-                  sums={"prev_n": "_n", "prev_played": "_p", "prev_pending": "_w"})
+                  sums={"prev_n": "_n", "prev_played": "_p", "prev_pending": "_w"}, split=split)
     out = asof_attach(per_gw, ["season"], "cutoff",
-                      [History(cum, time, ["prev_n", "prev_played", "prev_pending"])])
+                      [History(cum, time, ["prev_n", "prev_played", "prev_pending"])], split)
     prev = ["prev_n", "prev_played", "prev_pending"]
     return (out.withColumns({c: F.coalesce(c, F.lit(0)) for c in prev})
             .withColumn("final", F.col("prev_pending") == 0)

@@ -52,14 +52,10 @@ def base_stat(col: str, prefix: str) -> str | None:
 
 def apply_prior(wide: DataFrame, prior: DataFrame, prefixes: tuple[str, str] = ("home", "away")) -> DataFrame:
     """Fills the cross-season windows of promoted sides without history, nothing else."""
-    named = prior.select(*[F.col(c).alias(f"_prior_{c}") for c in prior.columns])
-    out = []
+    named = prior.selectExpr(*[f"`{c}` AS `_prior_{c}`" for c in prior.columns])
+    have, out = set(prior.columns), []
     for c in wide.columns:
-        expr = F.col(c)
-        for p in prefixes:
-            stat = base_stat(c, p)
-            if stat is not None and stat in prior.columns:
-                new = (F.coalesce(F.col(f"{p}_n_hist"), F.lit(0)) == 0) & F.coalesce(F.col(f"{p}_promoted"), F.lit(False))
-                expr = F.when(new & F.col(c).isNull(), F.col(f"_prior_{stat}")).otherwise(F.col(c))
-        out.append(expr.alias(c))
-    return wide.crossJoin(F.broadcast(named)).select(*out)   # the prior is one row
+        filled = next((f"coalesce(`{c}`, if(coalesce(`{p}_n_hist`, 0) = 0 AND `{p}_promoted`, `_prior_{stat}`, NULL)) AS `{c}`"
+                       for p in prefixes if (stat := base_stat(c, p)) in have), f"`{c}`")
+        out.append(filled)
+    return wide.crossJoin(F.broadcast(named)).selectExpr(*out)   # the prior is one row

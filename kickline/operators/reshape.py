@@ -25,14 +25,17 @@ def two_sides(df: DataFrame, keep: list[str], own_rival: dict[str, tuple[str, st
 
 def widen(df: DataFrame, keys: list[str], side: str, cols: list[str],
           prefixes: tuple[str, str] = SIDES) -> DataFrame:
-    """One row per key from its side rows, with a prefix per side."""
-    return df.groupBy(*keys).agg(*[
-        F.max(F.when(F.col(side) == p, F.col(c))).alias(f"{p}_{c}") for p in prefixes for c in cols])
+    """One row per key from its side rows, with a prefix per side. A key has one row per side, so
+    each side travels as one struct through a single aggregation."""
+    whole = F.struct(*cols)
+    packed = df.groupBy(*keys).agg(*[
+        F.first(F.when(F.col(side) == p, whole), ignorenulls=True).alias(f"_{p}") for p in prefixes])
+    return packed.selectExpr(*keys, *[f"_{p}.`{c}` AS `{p}_{c}`" for p in prefixes for c in cols])
 
 
 def differentials(df: DataFrame, names: list[str], prefixes: tuple[str, str] = SIDES) -> DataFrame:
     a, b = prefixes
-    return df.select("*", *[(F.col(f"{a}_{n}") - F.col(f"{b}_{n}")).alias(f"dif_{n}") for n in names])
+    return df.selectExpr("*", *[f"`{a}_{n}` - `{b}_{n}` AS `dif_{n}`" for n in names])
 
 
 def outcome(home: str, away: str) -> Column:

@@ -14,13 +14,14 @@ DAY_US = 86_400_000_000
 
 
 def lookback(df: DataFrame, keys: list[str], order: list[str], back: int,
-             build: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+             build: Callable[[WindowSpec], dict[str, Column]], split: bool = True) -> DataFrame:
     """Adds window columns whose frames reach at most `back` rows behind the row.
 
     `order[0]` is the numeric time; the rest breaks ties. In a hot key every
-    block also sees the last `back` rows before it as context.
+    block also sees the last `back` rows before it as context. `split=False`
+    skips the search for hot keys where the caller already knows there are none.
     """
-    spans = hot_spans(df, keys, order[0])
+    spans = hot_spans(df, keys, order[0]) if split else None
     if spans is None:
         cols = build(Window.partitionBy(*keys).orderBy(*order))
         return df.select("*", *[c.alias(n) for n, c in cols.items()])
@@ -44,12 +45,12 @@ def lookback(df: DataFrame, keys: list[str], order: list[str], back: int,
 
 
 def rolling_mean(df: DataFrame, keys: list[str], order: list[str],
-                 means: dict[str, tuple[str | Column, int]]) -> DataFrame:
+                 means: dict[str, tuple[str | Column, int]], split: bool = True) -> DataFrame:
     """`means`: output -> (column, n). Mean of the last n rows, own row included; nulls are
     skipped but still count as rows."""
     back = max(n for _, n in means.values()) - 1
     return lookback(df, keys, order, max(back, 1), lambda w: {
-        out: F.avg(c).over(w.rowsBetween(-(n - 1), 0)) for out, (c, n) in means.items()})
+        out: F.avg(c).over(w.rowsBetween(-(n - 1), 0)) for out, (c, n) in means.items()}, split)
 
 
 def lag_diff(df: DataFrame, keys: list[str], order: list[str], col: str,
@@ -61,7 +62,7 @@ def lag_diff(df: DataFrame, keys: list[str], order: list[str], col: str,
 
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str | Column] | None = None,
             maxima: dict[str, str | Column] | None = None, counts: dict[str, str | Column] | None = None,
-            ordinal: str | None = None) -> DataFrame:
+            ordinal: str | None = None, split: bool = True) -> DataFrame:
     """Running totals, maxima, non-null counts and the 1-based ordinal, own row included.
 
     In a hot key the totals of earlier blocks are added as a carry.
@@ -76,7 +77,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, st
     if ordinal:
         totals[ordinal] = (F.count, F.lit(1))
 
-    spans = hot_spans(df, keys, order[0])
+    spans = hot_spans(df, keys, order[0]) if split else None
     part = [*keys] if spans is None else [*keys, BLOCK]
     frame = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     if spans is None:
@@ -100,21 +101,21 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, st
 
 
 def running_mean(df: DataFrame, keys: list[str], order: list[str], means: dict[str, str],
-                 ordinal: str | None = None) -> DataFrame:
+                 ordinal: str | None = None, split: bool = True) -> DataFrame:
     """Expanding mean of non-null values, own row included."""
     tot = running(df, keys, order, sums={f"_s_{o}": c for o, c in means.items()},
-                  counts={f"_n_{o}": c for o, c in means.items()}, ordinal=ordinal)
+                  counts={f"_n_{o}": c for o, c in means.items()}, ordinal=ordinal, split=split)
     keep = [*df.columns] + ([ordinal] if ordinal else [])
     return tot.select(*keep, *[F.try_divide(F.col(f"_s_{o}"), F.col(f"_n_{o}")).alias(o) for o in means])
 
 
-def trailing_day_counts(df: DataFrame, keys: list[str], time: str, days: dict[str, int]) -> DataFrame:
+def trailing_day_counts(df: DataFrame, keys: list[str], time: str, days: dict[str, int], split: bool = True) -> DataFrame:
     """Rows of the same key in the calendar frame `(t - days, t]`, own row included.
 
     A hot key is counted as the difference of two running counts, read with an
     as-of step, so that no row is copied into the blocks after it.
     """
-    spans = hot_spans(df, keys, time)
+    spans = hot_spans(df, keys, time) if split else None
     if spans is None:
         w = Window.partitionBy(*keys).orderBy(time)
         return df.select("*", *[F.count(F.lit(1)).over(w.rangeBetween(-n * DAY_US + 1, 0)).alias(out)

@@ -17,13 +17,15 @@ CUPS = ("eflcup", "facup")
 EUROPE = ("champions", "europa")
 
 
-def all_competition_form(games: DataFrame, order: tuple[str, str] = ("kick", "event_id")) -> DataFrame:
+def all_competition_form(games: DataFrame, order: tuple[str, str] = ("kick", "event_id"),
+                         split: bool = True) -> DataFrame:
     done = games.filter("finished").withColumn("pts", points("gf", "gc"))
     return rolling_mean(done, ["team"], list(order),
-                        {"pts_all_u5": ("pts", 5), "gf_all_u5": ("gf", 5), "gc_all_u5": ("gc", 5)})
+                        {"pts_all_u5": ("pts", 5), "gf_all_u5": ("gf", 5), "gc_all_u5": ("gc", 5)}, split)
 
 
-def competition_load(objectives: DataFrame, games: DataFrame, keys: list[str], tie: str = "event_id") -> DataFrame:
+def competition_load(objectives: DataFrame, games: DataFrame, keys: list[str], tie: str = "event_id",
+                     split: bool = True) -> DataFrame:
     """Per objective (team, season, cutoff): games in [cutoff - d, cutoff), season cup runs, days
     since the last game and last-five form, over games strictly before the cut-off.
 
@@ -31,15 +33,15 @@ def competition_load(objectives: DataFrame, games: DataFrame, keys: list[str], t
     as of the cut-off and as of its start; no game is paired with an objective.
     """
     order = ["kick", tie]
-    hist = all_competition_form(games, (order[0], order[1]))
+    hist = all_competition_form(games, (order[0], order[1]), split)
     cup = F.when(F.col("competition") != LEAGUE, 1).otherwise(0)
-    hist = running(hist, ["team"], order, sums={"_cup": cup}, ordinal="_all")
+    hist = running(hist, ["team"], order, sums={"_cup": cup}, ordinal="_all", split=split)
     in_cup = F.col("competition").isin(*CUPS)
     in_europe = F.col("competition").isin(*EUROPE)
     season = running(hist, ["team", "season"], order,
                      sums={"cup_games": F.when(in_cup, 1).otherwise(0),
                            "europe_games": F.when(in_europe, 1).otherwise(0)},
-                     maxima={"_round": F.when(F.col("competition") != LEAGUE, F.col("round_weight"))})
+                     maxima={"_round": F.when(F.col("competition") != LEAGUE, F.col("round_weight"))}, split=split)
 
     starts = (0, *DAY_WINDOWS)
     probes = objectives.select(*keys, "team", "season", "cutoff", F.explode(F.array(*[
@@ -47,7 +49,7 @@ def competition_load(objectives: DataFrame, games: DataFrame, keys: list[str], t
     probes = probes.select(*keys, "team", "season", "cutoff", "_p.*")
     form_cols = ["pts_all_u5", "gf_all_u5", "gc_all_u5"]
     seen = asof_attach(probes, ["team"], "_at",
-                       [History(hist, "kick", ["_all", "_cup", *form_cols], tie=tie, used_time="_last")])
+                       [History(hist, "kick", ["_all", "_cup", *form_cols], tie=tie, used_time="_last")], split)
 
     def at(d: int, c: str):
         return F.max(F.when(F.col("_d") == d, F.col(c)))
@@ -57,7 +59,7 @@ def competition_load(objectives: DataFrame, games: DataFrame, keys: list[str], t
         *[F.coalesce(at(d, "_cup"), F.lit(0)).alias(f"_cup{d}") for d in (0, *CUP_DAY_WINDOWS)],
         at(0, "_last").alias("_last"), *[at(0, c).alias(c) for c in form_cols])
     wide = asof_attach(wide, ["team", "season"], "cutoff",
-                       [History(season, "kick", ["cup_games", "europe_games", "_round"], tie=tie)])
+                       [History(season, "kick", ["cup_games", "europe_games", "_round"], tie=tie)], split)
     known = F.col("_last").isNotNull()
     return wide.select(
         *keys, *[c for c in ("team", "season", "cutoff") if c not in keys],

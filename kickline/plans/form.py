@@ -22,10 +22,10 @@ def ordinals(long: DataFrame) -> DataFrame:
     return out.withColumn("k", F.col("_o") - 1).drop("_o")
 
 
-def championship(long: DataFrame) -> DataFrame:
+def championship(long: DataFrame, split: bool = True) -> DataFrame:
     """Running totals of the season, own match included."""
     out = running(long.select(*KEY, "team", "kick", "pts", "gf", "gc"), ["season", "team"], ORDER,
-                  sums={"pts_camp": "pts", "gf_camp": "gf", "gc_camp": "gc"}, ordinal="played_camp")
+                  sums={"pts_camp": "pts", "gf_camp": "gf", "gc_camp": "gc"}, ordinal="played_camp", split=split)
     return (out.drop("pts", "gf", "gc")
             .withColumns({"gd_camp": F.col("gf_camp") - F.col("gc_camp"),
                           "ppg_camp": F.col("pts_camp") / F.col("played_camp")}))
@@ -45,7 +45,7 @@ def objectives(long: DataFrame, cutoffs: DataFrame | None = None) -> DataFrame:
             .join(sized_broadcast(cut), ["season", "gameweek"]))
 
 
-def head_to_head(long: DataFrame, obj: DataFrame | None = None) -> DataFrame:
+def head_to_head(long: DataFrame, obj: DataFrame | None = None, split: bool = True) -> DataFrame:
     """Means over earlier meetings of the two sides, in any condition and with the same host.
 
     The conditional variant takes the home side's home meetings and the visitor's
@@ -53,15 +53,15 @@ def head_to_head(long: DataFrame, obj: DataFrame | None = None) -> DataFrame:
     """
     stats = {"pts": "pts", "gf": "gf", "gc": "gc"}
     base = long.select("team", "rival", "is_home", "kick", "fixture_id", *stats)
-    everything = running_mean(base, ["team", "rival"], ORDER, {f"a_{s}": s for s in stats}, ordinal="a_n")
-    same_host = running_mean(base, ["team", "rival", "is_home"], ORDER, {f"c_{s}": s for s in stats}, ordinal="c_n")
+    everything = running_mean(base, ["team", "rival"], ORDER, {f"a_{s}": s for s in stats}, ordinal="a_n", split=split)
+    same_host = running_mean(base, ["team", "rival", "is_home"], ORDER, {f"c_{s}": s for s in stats}, ordinal="c_n", split=split)
     cond = ["c_pts", "c_gf", "c_gc", "c_n"]
     obj = objectives(long) if obj is None else obj
     # one union for the three histories of a pair
     sides = asof_attach(obj.select(*KEY, "team", "rival", "is_home", "cutoff"), ["team", "rival"], "cutoff", [
         History(everything, "kick", ["a_pts", "a_gf", "a_gc", "a_n"], tie="fixture_id"),
         History(same_host.filter("is_home"), "kick", cond, tie="fixture_id", prefix="h_"),
-        History(same_host.filter(~F.col("is_home")), "kick", cond, tie="fixture_id", prefix="v_")])
+        History(same_host.filter(~F.col("is_home")), "kick", cond, tie="fixture_id", prefix="v_")], split)
     sides = sides.withColumns({c: F.when(F.col("is_home"), F.col(f"h_{c}")).otherwise(F.col(f"v_{c}")) for c in cond})
     home, away = F.col("is_home"), ~F.col("is_home")
 
@@ -78,22 +78,24 @@ def head_to_head(long: DataFrame, obj: DataFrame | None = None) -> DataFrame:
                       "h2h_cond_n": F.least(F.coalesce("h2h_cond_n", F.lit(0)), F.lit(H2H_COND_CAP))}))
 
 
-def table_grid(long: DataFrame, cutoffs: DataFrame | None = None, camp: DataFrame | None = None) -> DataFrame:
+def table_grid(long: DataFrame, cutoffs: DataFrame | None = None, camp: DataFrame | None = None,
+               split: bool = True) -> DataFrame:
     """Totals of every team of the season at every cut-off; nothing played yet is zero."""
     cut = cutoffs if cutoffs is not None else cutoff_per_gameweek(long, "kick")
-    camp = championship(long) if camp is None else camp
+    camp = championship(long, split) if camp is None else camp
     teams = long.select("season", "team").distinct()
     grid = cut.join(teams, "season").select("season", "gameweek", "cutoff", "team")
     cols = ["pts_camp", "gd_camp", "gf_camp"]
-    out = asof_attach(grid, ["season", "team"], "cutoff", [History(camp, "kick", cols, tie="fixture_id")])
+    out = asof_attach(grid, ["season", "team"], "cutoff", [History(camp, "kick", cols, tie="fixture_id")], split)
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in cols})
 
 
-def league_table(long: DataFrame, cutoffs: DataFrame | None = None, camp: DataFrame | None = None) -> DataFrame:
+def league_table(long: DataFrame, cutoffs: DataFrame | None = None, camp: DataFrame | None = None,
+                 split: bool = True) -> DataFrame:
     """Rank by points, goal difference and goals; the team name breaks what is left."""
     w = Window.partitionBy("season", "cutoff").orderBy(   # one row per team of the season
         F.desc("pts_camp"), F.desc("gd_camp"), F.desc("gf_camp"), "team")
-    return table_grid(long, cutoffs, camp).withColumn("position", F.row_number().over(w))
+    return table_grid(long, cutoffs, camp, split).withColumn("position", F.row_number().over(w))
 
 
 def recent_form(long: DataFrame, stats: list[str], n: int = 5) -> DataFrame:

@@ -20,6 +20,7 @@ from kickline.operators import checks as ck
 from kickline.operators import coldstart as cold
 from kickline.operators import ratings as rt
 from kickline.operators.asof import History, asof_attach
+from kickline.operators.blocks import hot_spans
 from kickline.operators.joins import opponent_value, sized_broadcast
 from kickline.operators.players import team_stats_by_fixture
 from kickline.operators.reshape import outcome, two_sides, widen
@@ -47,8 +48,8 @@ class Inputs:
 
 
 def team_history(long: DataFrame, players: DataFrame, detailed: DataFrame, rated: DataFrame,
-                 masked: dict[int, int] | None = None) -> DataFrame:
-    """One wide row per team and match, own match included."""
+                 masked: dict[int, int] | None = None) -> tuple[DataFrame, bool]:
+    """One wide row per team and match, own match included; and whether any team is hot."""
     stats = team_stats_by_fixture(players, masked).drop("gameweek")
     base = long.join(stats, [*KEY, "team"], "left").join(detailed, [*KEY, "team"], "left").join(rated, [*KEY, "team"], "left")
     base = opponent_value(base, KEY, "team", {"shots_conc": "shots", "sot_conc": "sot"})
@@ -56,6 +57,7 @@ def team_history(long: DataFrame, players: DataFrame, detailed: DataFrame, rated
         "xg_diff": F.col("gf") - F.col("xg"), "xgc_diff": F.col("gc") - F.col("xgc"),
         "xg_per_shot": F.try_divide(F.col("xg"), F.col("shots")), "xgc_per_shot": F.try_divide(F.col("xgc"), F.col("shots_conc")),
         "sot_share": F.try_divide(F.col("sot"), F.col("shots")), "sot_share_conc": F.try_divide(F.col("sot_conc"), F.col("shots_conc"))})
+    base = stage(base, "team-base")   # read by every window below
 
     def team_windows(w) -> dict[str, Column]:
         def mean(c: str, n: int) -> Column:
@@ -74,16 +76,19 @@ def team_history(long: DataFrame, players: DataFrame, detailed: DataFrame, rated
     def condition_windows(w) -> dict[str, Column]:
         return {f"{s}_cond_u5": F.avg(s).over(w.rowsBetween(-4, 0)) for s in ct.CONDITION_STATS}
 
-    out = lookback(base, ["team"], ORDER, 10, team_windows)
-    out = running(out, ["team"], ORDER, ordinal="_games")
-    out = trailing_day_counts(out, ["team"], "kick", {f"games_{n}d": n for n in (7, 14, 21)})
-    out = lookback(out, ["season", "team"], ORDER, 4, season_windows)
-    out = running(out, ["season", "team"], ORDER, sums={"pts_camp": "pts", "gf_camp": "gf", "gc_camp": "gc"}, ordinal="played_camp")
-    out = lookback(out, ["team", "is_home"], ORDER, 4, condition_windows)
-    return out.withColumns({
+    # a season, condition or pair of a team has no more rows than the team
+    split = hot_spans(base, ["team"], "kick") is not None
+    out = lookback(base, ["team"], ORDER, 10, team_windows, split)
+    out = running(out, ["team"], ORDER, ordinal="_games", split=split)
+    out = trailing_day_counts(out, ["team"], "kick", {f"games_{n}d": n for n in (7, 14, 21)}, split)
+    out = lookback(out, ["season", "team"], ORDER, 4, season_windows, split)
+    out = running(out, ["season", "team"], ORDER, sums={"pts_camp": "pts", "gf_camp": "gf", "gc_camp": "gc"}, ordinal="played_camp", split=split)
+    out = lookback(out, ["team", "is_home"], ORDER, 4, condition_windows, split)
+    out = out.withColumns({
         "n_hist": F.least("_games", F.lit(HISTORY_CAP)), "k": F.col("_games") - 1,
         "gd_camp": F.col("gf_camp") - F.col("gc_camp"), "ppg_camp": F.col("pts_camp") / F.col("played_camp"),
         "streak": F.col("_pts_u3") - F.col("pts_camp") / F.col("played_camp"), "hist_season": F.col("season")})
+    return out, split
 
 
 def rated_sides(matches: DataFrame) -> DataFrame:
@@ -99,14 +104,14 @@ def build(inp: Inputs, now_us: int, current_season: int, holdout: int, train: li
     done, long = m.filter(played), inp.long.filter(played)
     cut = cal.cutoff_per_gameweek(m, "kick")
 
-    status = cal.gameweek_status(m.select("season", "gameweek", "fixture_id", "kick"), played, now_us)
-    coming = (cal.next_predictable(status.filter(F.col("season") == current_season))
+    this = m.filter(F.col("season") == current_season).select("season", "gameweek", "fixture_id", "kick")
+    coming = (cal.next_predictable(cal.gameweek_status(this, played, now_us))
               .select("season", F.col("next_gameweek").alias("gameweek")))
     ahead = m.filter(~played).join(F.broadcast(coming), ["season", "gameweek"], "left_semi")   # one row
     targets = done.unionByName(ahead).join(sized_broadcast(cut), ["season", "gameweek"])
     sides = two_sides(targets, ["season", "gameweek", "fixture_id", "kick", "cutoff"], {"team": ("home", "away"), "rival": ("away", "home")})
 
-    hist = team_history(long, inp.players.filter(played), inp.detailed, rated_sides(done), masked)
+    hist, split = team_history(long, inp.players.filter(played), inp.detailed, rated_sides(done), masked)
     hist = squad_windows(inp.players.filter(played), hist).withColumnRenamed("squad_continuity", "squad_continuity_u5")
     by_season = [f"{s}_u5_season" for s in ct.SEASON_STATS]
     campaign = ["pts_camp", "played_camp", "ppg_camp", "gf_camp", "gc_camp", "gd_camp"]
@@ -119,27 +124,29 @@ def build(inp: Inputs, now_us: int, current_season: int, holdout: int, train: li
     seen = asof_attach(sides, ["team"], "cutoff", [
         History(hist, "kick", ["hist_season", *cross, *by_season, *campaign], tie="fixture_id", used_time="hist_kick"),
         History(hist.filter("is_home"), "kick", conditions, tie="fixture_id", prefix="h_"),
-        History(hist.filter(~F.col("is_home")), "kick", conditions, tie="fixture_id", prefix="v_")])
+        History(hist.filter(~F.col("is_home")), "kick", conditions, tie="fixture_id", prefix="v_")], split)
     same = F.col("hist_season") == F.col("season")
     seen = seen.withColumns({
         **{c: F.when(same, F.col(c)) for c in (*by_season, *campaign)},
         **{c: F.when(F.col("is_home"), F.col(f"h_{c}")).otherwise(F.col(f"v_{c}")) for c in conditions},
         "rest_days": (F.col("kick") - F.col("hist_kick")) / DAY_US})
 
+    seen = stage(seen.drop("hist_season", *[f"{p}_{c}" for p in ("h", "v") for c in conditions]), "sides")
+
     flags = cold.promoted_flags(m.select("season", F.explode(F.array("home", "away")).alias("team")), "team")
-    table = form.league_table(long, cut, hist.select("season", "team", "kick", "fixture_id", "pts_camp", "gd_camp", "gf_camp"))
+    table = form.league_table(long, cut, hist.select("season", "team", "kick", "fixture_id", "pts_camp", "gd_camp", "gf_camp"), split)
     seen = (seen.join(sized_broadcast(flags), ["season", "team"], "left")
             .join(sized_broadcast(table.select("season", "gameweek", "team", F.col("position").cast("double").alias("position_camp"))),
                   ["season", "gameweek", "team"], "left"))
     seen = season_start(seen, ["pts_camp", "played_camp", "gf_camp", "gc_camp", "gd_camp"], ["ppg_camp", "position_camp"],
                         "played_camp", n_hist="n_hist")
-    load = competition_load(sides.select(*KEY, "team", "cutoff"), inp.games.filter(played), ["fixture_id"])
+    load = competition_load(sides.select(*KEY, "team", "cutoff"), inp.games.filter(played), ["fixture_id"], split=split)
     seen = seen.join(load.drop("cutoff"), [*KEY, "team"], "left")
     side = F.when(F.col("is_home"), "home").otherwise("away")
     wide = widen(seen.withColumn("side", side), KEY, "side", [*ct.SIDE_FEATURES, "hist_kick"])
     wide = wide.withColumnsRenamed({"home_hist_kick": "hist_kick_home", "away_hist_kick": "hist_kick_away"})
 
-    pair = form.head_to_head(long, sides)
+    pair = form.head_to_head(long, sides, split)
     xg = hist.filter("is_home").select(*KEY, (F.coalesce("xg_available", F.lit(False)) & F.col("xg").isNotNull()).alias("xg_available"))
     odds = [F.col(f"odds_{c}") for c in ("home", "draw", "away")]
     known = {c: F.when(played, F.col(c)) for c in ("home_goals", "away_goals")}
@@ -150,7 +157,7 @@ def build(inp: Inputs, now_us: int, current_season: int, holdout: int, train: li
     gold = gold.select("*", outcome("home_goals", "away_goals").alias("target"), (F.col("home_goals") - F.col("away_goals")).alias("goal_diff"),
                        (F.col("fdr_home") - F.col("fdr_away")).alias("fdr_dif"),
                        # before the prior: a side without history keeps an unknown difference
-                       *[(F.col(f"home_{d}") - F.col(f"away_{d}")).alias(f"dif_{d}") for d in ct.DIFFERENTIALS])
+                       *[F.expr(f"home_{d} - away_{d} AS dif_{d}") for d in ct.DIFFERENTIALS])
     prior_stats = [*ct.BASE_STATS, "gd"]
     stats = team_stats_by_fixture(inp.players.filter(played), masked).drop("gameweek")
     prior = cold.promoted_prior(long.join(stats, [*KEY, "team"], "left"), flags, prior_stats, train).select(*prior_stats)
