@@ -110,7 +110,7 @@ def l12(spark, sf):
 
 @query("l13_walk_forward")
 def l13(spark, sf):
-    scored = ln.walk_forward(data(spark, sf), FEATS, HOLDOUT, ln.forest, trees=8, depth=4)
+    scored = ln.walk_forward(data(spark, sf), FEATS, CURRENT, ln.forest, trees=5, depth=4)
     return rounded(ln.quality(stage(scored, "walk-forward"), ["season", "gameweek"]), "accuracy", "log_loss", "rps")
 
 
