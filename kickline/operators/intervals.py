@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kickline.operators.asof import History, asof_attach
 from kickline.operators.windows import lookback, running
+from kickline.session import stage
 
 OPEN_END_US = 4_102_358_400_000_000   # fixed value: 2099-12-31
 GRID_ROWS = 100_000
@@ -52,22 +53,25 @@ def valid_at(intervals: DataFrame, by: list[str], instants: DataFrame, at: str,
     above it. Up to GRID_ROWS instants are numbered from a broadcast array, more
     of them by as-of steps.
     """
+    keep = intervals.select(*by, value, "valid_from", "valid_to", *[c.alias(o) for o, c in sums.items() if o != value])
     cal = instants.select(F.col(at).cast("long").alias("_at")).filter(F.col("_at").isNotNull()).distinct()
     n = cal.count()
     if n <= GRID_ROWS:
         cal = cal.withColumn("_i", F.row_number().over(Window.orderBy("_at")) - 1)
         grid = cal.agg(F.sort_array(F.collect_list("_at")).alias("_grid"))
-        ranked = (intervals.crossJoin(F.broadcast(grid))
-                  .withColumn("_first", _lower_bound(F.col("_grid"), F.col("valid_from")))
-                  .withColumn("_last", _lower_bound(F.col("_grid"), F.col("valid_to")) - 1).drop("_grid"))
+        steps = max(n, 1).bit_length()
+        ranked = (keep.crossJoin(F.broadcast(grid))   # one row
+                  .withColumn("_first", _lower_bound(F.col("_grid"), F.col("valid_from"), steps))
+                  .withColumn("_last", _lower_bound(F.col("_grid"), F.col("valid_to"), steps) - 1).drop("_grid"))
     else:
-        cal, ranked = _rank_by_asof(cal, intervals)
-    ranked = ranked.filter(F.col("_first") <= F.col("_last"))
+        cal, ranked = _rank_by_asof(cal, keep)
+    # read by the totals and by the largest values
+    ranked = stage(ranked.filter(F.col("_first") <= F.col("_last")).drop("valid_from", "valid_to"), "ranked")
     levels = max(n - 1, 1).bit_length()
     runs = ranked.select("*", F.explode(_cover(F.col("_first"), F.col("_last"), levels)).alias("_n"))
     keys = [*by, "_lvl", "_idx"]
     runs = runs.select("*", F.col("_n.lvl").alias("_lvl"), F.col("_n.idx").alias("_idx")).drop("_n")
-    total = runs.groupBy(*keys).agg(*[F.sum(c).alias(o) for o, c in sums.items()],
+    total = runs.groupBy(*keys).agg(*[F.sum(value if o == value else o).alias(o) for o in sums],
                                     F.count(F.lit(1)).alias("n_valid"))
     if top_n:
         order = Window.partitionBy(*keys).orderBy(F.col(value).desc())
@@ -99,7 +103,7 @@ def _rank_by_asof(cal: DataFrame, intervals: DataFrame) -> tuple[DataFrame, Data
     return numbered.select("_at", "_i"), out.drop("_k")
 
 
-def _lower_bound(grid: Column, x: Column) -> Column:
+def _lower_bound(grid: Column, x: Column, steps: int = 24) -> Column:
     """How many grid instants are before x, by bisection over the sorted array."""
     def halve(s: Column, _: Column) -> Column:
         mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
@@ -108,4 +112,4 @@ def _lower_bound(grid: Column, x: Column) -> Column:
         return F.struct(F.when(inside & less, mid + 1).otherwise(s["lo"]).cast("int").alias("lo"),
                         F.when(inside & ~less, mid).otherwise(s["hi"]).cast("int").alias("hi"))
     start = F.struct(F.lit(0).alias("lo"), F.size(grid).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(24)), start, halve, lambda s: s["lo"])
+    return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), start, halve, lambda s: s["lo"])

@@ -61,16 +61,20 @@ def coverage_rate(left: DataFrame, right: DataFrame, on: list[str], where: Colum
 
 
 def opponent_value(df: DataFrame, game: list[str], team: str, cols: dict[str, str]) -> DataFrame:
-    """Adds the other side's value in the same game, `cols`: output -> column.
+    """Adds the other side's value in the same game, `cols`: output -> column; NULL without a rival.
 
-    A game has two rows, so sums over the game minus the own value give the
-    rival's; a missing rival or value leaves NULL.
+    A game has at most two rows, so one aggregation holds both sides and hands
+    each its rival's values: no self-join. More than two rows is an error.
     """
-    per_game = (df.groupBy(*game).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.max(F.struct(team, c)).alias(f"_x_{o}") for o, c in cols.items()],
-        *[F.min(F.struct(team, c)).alias(f"_m_{o}") for o, c in cols.items()]))
-    picked = [F.when(F.col("_rows") == 2,
-                     F.when(F.col(f"_x_{o}")[team] != F.col(team), F.col(f"_x_{o}")[c])
-                     .otherwise(F.col(f"_m_{o}")[c])).alias(o) for o, c in cols.items()]
-    return df.join(per_game, game).select(*df.columns, *picked)
+    rest = [c for c in df.columns if c not in game and c != team]
+    side = F.struct(team, *rest)
+    packed = df.groupBy(*game).agg(F.count(F.lit(1)).alias("_n"), F.max(side).alias("_a"), F.min(side).alias("_b"))
+
+    def view(own: str, other: str | None) -> Column:
+        rival = [(F.col(f"{other}.{c}") if other else F.lit(None).cast(dict(df.dtypes)[c])).alias(o) for o, c in cols.items()]
+        return F.struct(*[F.col(f"{own}.{c}").alias(c) for c in (team, *rest)], *rival)
+
+    sides = (F.when(F.col("_n") == 1, F.array(view("_a", None)))
+             .when(F.col("_n") == 2, F.array(view("_a", "_b"), view("_b", "_a")))
+             .otherwise(F.raise_error(F.lit(f"a game ({', '.join(game)}) has more than two sides"))))
+    return packed.select(*game, F.explode(sides).alias("_s")).select(*game, "_s.*").select(*df.columns, *cols)

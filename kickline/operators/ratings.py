@@ -51,7 +51,7 @@ class EloState:
         self.season = None
         self.members: dict[str, set[str]] = {}
 
-    def new_season(self, row) -> None:
+    def new_season(self) -> None:
         groups = list(self.members.values())
         if not groups:
             targets = [(self.rating.keys(), ELO_START)]
@@ -65,21 +65,20 @@ class EloState:
             for t in list(teams):
                 self.rating[t] += (mean - self.rating[t]) * SEASON_PULL
 
-    def step(self, row) -> tuple:
-        if row.season != self.season:
-            if hasattr(row, "members") and row.members is not None:
-                self.members = {str(i): set(m) for i, m in enumerate(row.members)}
-            self.new_season(row)
-            self.season = row.season
-        h, a = self.rating.get(row.home, ELO_START), self.rating.get(row.away, ELO_START)
+    def step(self, season, home, away, gf, gc, members=None) -> tuple:
+        if season != self.season:
+            if members is not None:
+                self.members = {str(i): set(m) for i, m in enumerate(members)}
+            self.new_season()
+            self.season = season
+        h, a = self.rating.get(home, ELO_START), self.rating.get(away, ELO_START)
         expected = 1.0 / (1.0 + 10.0 ** ((a - h - ELO_HOME) / 400.0))
-        margin = row.gf - row.gc
+        margin = gf - gc
         score = 1.0 if margin > 0 else 0.5 if margin == 0 else 0.0
         move = ELO_K * (1.0 + math.log1p(abs(margin))) * (score - expected)
-        self.rating[row.home], self.rating[row.away] = h + move, a - move
+        self.rating[home], self.rating[away] = h + move, a - move
         return h + move, a - move, abs(score - expected), expected
 
-
     def dump(self):
         return [self.rating, self.season, {k: sorted(v) for k, v in self.members.items()}]
 
@@ -103,20 +102,19 @@ class PiState:
     def goals(r: float) -> float:
         return math.copysign(10.0 ** (abs(r) / PI_BASE) - 1.0, r)
 
-    def step(self, row) -> tuple:
-        hh, ha = self.at_home.get(row.home, 0.0), self.on_road.get(row.home, 0.0)
-        ah, aa = self.at_home.get(row.away, 0.0), self.on_road.get(row.away, 0.0)
+    def step(self, season, home, away, gf, gc) -> tuple:
+        hh, ha = self.at_home.get(home, 0.0), self.on_road.get(home, 0.0)
+        ah, aa = self.at_home.get(away, 0.0), self.on_road.get(away, 0.0)
         expected = self.goals(hh) - self.goals(aa)
-        gap = float(row.gf - row.gc) - expected
+        gap = float(gf - gc) - expected
         direction = (gap > 0) - (gap < 0)
         move = direction * self.rate * PI_DAMP * math.log10(1.0 + abs(gap))
         hh, ha = hh + move, ha + move * self.transfer
         aa, ah = aa - move, ah - move * self.transfer
-        self.at_home[row.home], self.on_road[row.home] = hh, ha
-        self.at_home[row.away], self.on_road[row.away] = ah, aa
+        self.at_home[home], self.on_road[home] = hh, ha
+        self.at_home[away], self.on_road[away] = ah, aa
         return hh, ha, ah, aa, expected, abs(gap)
 
-
     def dump(self):
         return [self.at_home, self.on_road]
 
@@ -136,26 +134,25 @@ class PoissonState:
         self.defence: dict[str, float] = {}
         self.season = None
 
-    def step(self, row) -> tuple:
-        if row.season != self.season:
+    def step(self, season, home, away, gf, gc) -> tuple:
+        if season != self.season:
             for side in (self.attack, self.defence):
                 for t in side:
                     side[t] *= 1.0 - SEASON_PULL
-            self.season = row.season
-        ha, hd = self.attack.get(row.home, 0.0), self.defence.get(row.home, 0.0)
-        aa, ad = self.attack.get(row.away, 0.0), self.defence.get(row.away, 0.0)
+            self.season = season
+        ha, hd = self.attack.get(home, 0.0), self.defence.get(home, 0.0)
+        aa, ad = self.attack.get(away, 0.0), self.defence.get(away, 0.0)
         lh, la = math.exp(self.mu + ha - ad + self.edge), math.exp(self.mu + aa - hd)
-        eh, ea = self.k * (row.gf - lh), self.k * (row.gc - la)
+        eh, ea = self.k * (gf - lh), self.k * (gc - la)
 
         def clip(x: float) -> float:
             return max(-POISSON_CAP, min(POISSON_CAP, x))
 
         ha, ad, aa, hd = clip(ha + eh), clip(ad - eh), clip(aa + ea), clip(hd - ea)
-        self.attack[row.home], self.defence[row.home] = ha, hd
-        self.attack[row.away], self.defence[row.away] = aa, ad
+        self.attack[home], self.defence[home] = ha, hd
+        self.attack[away], self.defence[away] = aa, ad
         return ha, hd, aa, ad, lh, la
 
-
     def dump(self):
         return [self.attack, self.defence, self.season]
 
@@ -206,37 +203,48 @@ def _fold_pass(rows: DataFrame, keys: list[str], n_league: int, state: Callable,
     types = dict(rows.dtypes)
     fields = [f"`{c}` {types[c]}" for c in keep] + [state.columns] + (["saved string"] if with_state else [])
     names = [c.strip().split(" ")[0] for c in state.columns.split(",")]
-    n_keys = len(keys)
+    n_keys, extra = len(keys), [c for c in rows.columns if c not in {*keys, *MATCH, "saved"}]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, st = None, None
-
-        def closing(key) -> list:
-            return [(*key, *[None] * (len(keep) - n_keys), *[None] * len(names), json.dumps(st.dump()))]
-
-        def frame(values: list) -> pd.DataFrame:
-            cols = [*keep, *names, *(["saved"] if with_state else [])]
-            out = pd.DataFrame(values, columns=cols)
-            for c in ("season", "kick", "fixture_id", "gf", "gc"):
-                out[c] = out[c].astype("Int64")
+        current, st, closed = None, None, []
+
+        def close() -> None:
+            if with_state and current is not None:
+                closed.append((current, json.dumps(st.dump())))
+
+        def states() -> pd.DataFrame:
+            out = pd.DataFrame({k: [key[i] for key, _ in closed] for i, k in enumerate(keys)})
+            for c in keep[n_keys:]:
+                out[c] = pd.Series([None] * len(closed), dtype="object")
+            for c in names:
+                out[c] = math.nan
+            out["saved"] = [s for _, s in closed]
+            closed.clear()
             return out
 
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                key = tuple(row[:n_keys])
+            columns = [batch[c].tolist() for c in ("season", "home", "away", "gf", "gc", *extra)]
+            values, kept = [], []
+            for i, (key, saved, *match) in enumerate(zip(
+                    zip(*[batch[k].tolist() for k in keys]), batch["saved"].tolist(), *columns)):
                 if key != current:
-                    if with_state and current is not None:
-                        out += closing(current)
+                    close()
                     current, st = key, state(key[n_league:])
-                if with_state and isinstance(row.saved, str):
-                    st.load(json.loads(row.saved))
+                if saved is not None:
+                    st.load(json.loads(saved))
                     continue
-                values = (*key, row.season, row.kick, row.fixture_id, row.home, row.away, row.gf, row.gc, *st.step(row))
-                out.append((*values, None) if with_state else values)
-            yield frame(out)
-        if with_state and current is not None:
-            yield frame(closing(current))
+                kept.append(i)
+                values.append(st.step(*match))
+            out = batch[keep] if len(kept) == len(batch) else batch[keep].iloc[kept].reset_index(drop=True)
+            out = pd.concat([out, pd.DataFrame(values, columns=names, dtype="float64")], axis=1)
+            if with_state:
+                out["saved"] = None
+            yield out
+            if closed:
+                yield states()
+        close()
+        if closed:
+            yield states()
 
     return ordered.mapInPandas(run, ", ".join(fields))
 

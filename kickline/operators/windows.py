@@ -44,13 +44,39 @@ def lookback(df: DataFrame, keys: list[str], order: list[str], back: int,
             .filter(~F.col("_ctx")).drop("_ctx", BLOCK))
 
 
+SHORT_FRAME = 5
+
+
 def rolling_mean(df: DataFrame, keys: list[str], order: list[str],
                  means: dict[str, tuple[str | Column, int]], split: bool = True) -> DataFrame:
     """`means`: output -> (column, n). Mean of the last n rows, own row included; nulls are
-    skipped but still count as rows."""
+    skipped but still count as rows.
+
+    For short frames the statistics of a row travel as one struct, so the window
+    computes a handful of lags however many means there are, and the means are
+    plain arithmetic over them.
+    """
     back = max(n for _, n in means.values()) - 1
-    return lookback(df, keys, order, max(back, 1), lambda w: {
-        out: F.avg(c).over(w.rowsBetween(-(n - 1), 0)) for out, (c, n) in means.items()}, split)
+    if back >= SHORT_FRAME:
+        return lookback(df, keys, order, back, lambda w: {
+            out: F.avg(c).over(w.rowsBetween(-(n - 1), 0)) for out, (c, n) in means.items()}, split)
+    slot = {out: f"x{i}" for i, out in enumerate(means)}
+    named = {}
+    for out, (c, _) in means.items():   # one field per distinct named column
+        if isinstance(c, str):
+            slot[out] = named.setdefault(c, slot[out])
+    fields = {slot[out]: (F.col(c) if isinstance(c, str) else c) for out, (c, _) in means.items()}
+    packed = df.withColumn("_r0", F.struct(*[c.alias(f) for f, c in fields.items()]))
+    lagged = lookback(packed, keys, order, max(back, 1),
+                      lambda w: {f"_r{i}": F.lag("_r0", i).over(w) for i in range(1, back + 1)}, split)
+
+    def mean(out: str, n: int) -> str:
+        xs = [f"_r{i}.{slot[out]}" for i in range(n)]
+        total = " + ".join(f"coalesce({x}, 0)" for x in xs)
+        count = " + ".join(f"int({x} IS NOT NULL)" for x in xs)
+        return f"try_divide({total}, {count}) AS `{out}`"
+
+    return lagged.selectExpr(*[f"`{c}`" for c in df.columns], *[mean(o, n) for o, (_, n) in means.items()])
 
 
 def lag_diff(df: DataFrame, keys: list[str], order: list[str], col: str,

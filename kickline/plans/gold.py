@@ -25,7 +25,7 @@ from kickline.operators.joins import opponent_value, sized_broadcast
 from kickline.operators.players import team_stats_by_fixture
 from kickline.operators.reshape import outcome, two_sides, widen
 from kickline.operators.squad import squad_windows
-from kickline.operators.windows import DAY_US, lookback, running, trailing_day_counts
+from kickline.operators.windows import DAY_US, lookback, rolling_mean, running, trailing_day_counts
 from kickline.plans import contract as ct
 from kickline.plans import form
 from kickline.plans.competitions import competition_load
@@ -51,43 +51,37 @@ def team_history(long: DataFrame, players: DataFrame, detailed: DataFrame, rated
                  masked: dict[int, int] | None = None) -> tuple[DataFrame, bool]:
     """One wide row per team and match, own match included; and whether any team is hot."""
     stats = team_stats_by_fixture(players, masked).drop("gameweek")
-    base = long.join(stats, [*KEY, "team"], "left").join(detailed, [*KEY, "team"], "left").join(rated, [*KEY, "team"], "left")
-    base = opponent_value(base, KEY, "team", {"shots_conc": "shots", "sot_conc": "sot"})
+    # the rival's shots first, while the rows are narrow
+    base = opponent_value(long, KEY, "team", {"shots_conc": "shots", "sot_conc": "sot"})
+    base = base.join(stats, [*KEY, "team"], "left").join(detailed, [*KEY, "team"], "left").join(rated, [*KEY, "team"], "left")
     base = base.withColumns({
         "xg_diff": F.col("gf") - F.col("xg"), "xgc_diff": F.col("gc") - F.col("xgc"),
         "xg_per_shot": F.try_divide(F.col("xg"), F.col("shots")), "xgc_per_shot": F.try_divide(F.col("xgc"), F.col("shots_conc")),
         "sot_share": F.try_divide(F.col("sot"), F.col("shots")), "sot_share_conc": F.try_divide(F.col("sot_conc"), F.col("shots_conc"))})
     base = stage(base, "team-base")   # read by every window below
 
-    def team_windows(w) -> dict[str, Column]:
-        def mean(c: str, n: int) -> Column:
-            return F.avg(c).over(w.rowsBetween(-(n - 1), 0))
-        out = {f"{s}_u{n}": mean(s, n) for n in (3, 5) for s in (*ct.BASE_STATS, *ct.DETAILED)}
-        out |= {f"{s}_u5": mean(s, 5) for s in ("shots_conc", "sot_conc", "xg_diff", "xgc_diff", "xg_per_shot",
-                                               "xgc_per_shot", "sot_share", "sot_share_conc")}
-        out |= {f"surprise_u{n}": mean("surprise", n) for n in (5, 10)}
-        out |= {f"elo_delta_u{n}": F.col("elo") - F.lag("elo", n).over(w) for n in (3, 5, 10)}
-        out["_pts_u3"] = mean("pts", 3)
-        return out
+    def slow_windows(w) -> dict[str, Column]:
+        out = {f"surprise_u{n}": F.avg("surprise").over(w.rowsBetween(-(n - 1), 0)) for n in (5, 10)}
+        return out | {f"elo_delta_u{n}": F.col("elo") - F.lag("elo", n).over(w) for n in (3, 5, 10)}
 
-    def season_windows(w) -> dict[str, Column]:
-        return {f"{s}_u5_season": F.avg(s).over(w.rowsBetween(-4, 0)) for s in ct.SEASON_STATS}
-
-    def condition_windows(w) -> dict[str, Column]:
-        return {f"{s}_cond_u5": F.avg(s).over(w.rowsBetween(-4, 0)) for s in ct.CONDITION_STATS}
+    ratios = ("shots_conc", "sot_conc", "xg_diff", "xgc_diff", "xg_per_shot", "xgc_per_shot", "sot_share", "sot_share_conc")
+    short = {f"{s}_u{n}": (s, n) for n in (3, 5) for s in (*ct.BASE_STATS, *ct.DETAILED)} | {f"{s}_u5": (s, 5) for s in ratios}
+    by_season = {f"{s}_u5_season": (s, 5) for s in ct.SEASON_STATS}
+    by_condition = {f"{s}_cond_u5": (s, 5) for s in ct.CONDITION_STATS}
 
     # a season, condition or pair of a team has no more rows than the team
     split = hot_spans(base, ["team"], "kick") is not None
-    out = lookback(base, ["team"], ORDER, 10, team_windows, split)
+    out = rolling_mean(base, ["team"], ORDER, short, split)
+    out = lookback(out, ["team"], ORDER, 10, slow_windows, split)
     out = running(out, ["team"], ORDER, ordinal="_games", split=split)
     out = trailing_day_counts(out, ["team"], "kick", {f"games_{n}d": n for n in (7, 14, 21)}, split)
-    out = lookback(out, ["season", "team"], ORDER, 4, season_windows, split)
+    out = rolling_mean(out, ["season", "team"], ORDER, by_season, split)
     out = running(out, ["season", "team"], ORDER, sums={"pts_camp": "pts", "gf_camp": "gf", "gc_camp": "gc"}, ordinal="played_camp", split=split)
-    out = lookback(out, ["team", "is_home"], ORDER, 4, condition_windows, split)
+    out = rolling_mean(out, ["team", "is_home"], ORDER, by_condition, split)
     out = out.withColumns({
         "n_hist": F.least("_games", F.lit(HISTORY_CAP)), "k": F.col("_games") - 1,
         "gd_camp": F.col("gf_camp") - F.col("gc_camp"), "ppg_camp": F.col("pts_camp") / F.col("played_camp"),
-        "streak": F.col("_pts_u3") - F.col("pts_camp") / F.col("played_camp"), "hist_season": F.col("season")})
+        "streak": F.col("pts_u3") - F.col("pts_camp") / F.col("played_camp"), "hist_season": F.col("season")})
     return out, split
 
 

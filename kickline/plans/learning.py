@@ -94,8 +94,7 @@ def poisson_goals(train, test, features, seed=42, rho: float = 0.0):
         glm = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="features", labelCol=f"{side}_goals",
                                           predictionCol=f"lam_{side}", maxIter=15, regParam=0.01)
         scored = glm.fit(fitted).transform(scored)
-    out = scored.withColumn("_o", goals.outcome_probs(F.col("lam_home"), F.col("lam_away"), rho))
-    return out.select(*KEEP, *[F.col(f"_o.{c}").alias(f"p_{c}") for c in CL])
+    return goals.with_outcome_probs(scored, "lam_home", "lam_away", rho).select(*KEEP, *PROBS)
 
 
 def exact_score(train, test, features, seed=42, min_share: float = 0.02):

@@ -306,8 +306,8 @@ _GRID = f"""WITH r AS (SELECT season, fixture_id, {_LAM} AS lam, {_MU} AS mu FRO
 def _grid(spark, sf, rho):
     lam, mu = rate_cols()
     df = silver.match(spark, sf).select("season", "fixture_id", lam.alias("lam"), mu.alias("mu"))
-    df = df.withColumn("o", goals.outcome_probs(F.col("lam"), F.col("mu"), rho))
-    return df.select("season", "fixture_id", *[F.round(f"o.{c}", 6).alias(f"p_{c}") for c in CLASSES])
+    df = goals.with_outcome_probs(df, "lam", "mu", rho)
+    return df.select("season", "fixture_id", *[F.round(f"p_{c}", 6).alias(f"p_{c}") for c in CLASSES])
 
 
 @query("f16_poisson_score_grid", _GRID.format(rho="0"))
