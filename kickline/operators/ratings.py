@@ -13,7 +13,7 @@ import json
 import math
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,22 +161,22 @@ class PoissonState:
 
 
 def fold(matches: DataFrame, league: list[str], state: Callable, params: list[str] | None = None,
-         extra: list[str] | None = None) -> DataFrame:
+         extra: list[str] | None = None, emit: list[str] | None = None) -> DataFrame:
     """Runs `state` over each league (and parameter point) in match order, one output row per match.
 
     Matches are hash-partitioned by league and parameter point and sorted inside
     the partition; the function walks the sorted batches and starts afresh when
-    the key changes. The order of matches is the one thing that cannot be split,
+    the key changes. `emit` names the match columns wanted back. The order of matches is the one thing that cannot be split,
     so a league with more rows than one task should hold is folded in time chunks:
     each chunk is written before the next starts from the ratings it left, and a
     lost executor costs one chunk.
     """
-    params, extra = params or [], extra or []
+    params, extra, emit = params or [], extra or [], emit or MATCH
     keys = [*league, *params]
     rows = matches.select(*keys, *MATCH, *extra)
     spans = hot_spans(rows, keys, "kick")
     if spans is None:
-        return _fold_pass(rows.withColumn("saved", F.lit(None).cast("string")), keys, len(league), state, False)
+        return _fold_pass(rows.withColumn("saved", F.lit(None).cast("string")), keys, len(league), state, False, emit)
 
     lo, hi = rows.agg(F.min("kick"), F.max("kick")).first()
     width = spans.agg(F.min("_width")).first()[0]
@@ -189,44 +189,46 @@ def fold(matches: DataFrame, league: list[str], state: Callable, params: list[st
             part = part.unionByName(carried.withColumns(
                 {"kick": F.lit(-(1 << 62)), "fixture_id": F.lit(-1), "season": F.lit(0), "gf": F.lit(0), "gc": F.lit(0)}),
                 allowMissingColumns=True)
-        out = stage(_fold_pass(part, keys, len(league), state, True), "fold")
+        out = stage(_fold_pass(part, keys, len(league), state, True, emit), "fold")
         carried = out.filter(F.col("saved").isNotNull()).select(*keys, "saved")
         parts.append(out.filter(F.col("saved").isNull()).drop("saved"))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def _fold_pass(rows: DataFrame, keys: list[str], n_league: int, state: Callable, with_state: bool) -> DataFrame:
-    """One sorted walk. A row with `saved` carries the ratings to start from; with
-    `with_state` such a row is also emitted at the end of every key."""
+def _fold_pass(rows: DataFrame, keys: list[str], n_league: int, state: Callable, with_state: bool,
+               emit: list[str]) -> DataFrame:
+    """One sorted walk. A row with `saved` carries the ratings to start from; with `with_state`
+    such a row is also emitted at the end of every key."""
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "kick", "fixture_id")
-    keep = [*keys, "season", "kick", "fixture_id", "home", "away", "gf", "gc"]
+    keep = [*keys, *emit]
     types = dict(rows.dtypes)
     fields = [f"`{c}` {types[c]}" for c in keep] + [state.columns] + (["saved string"] if with_state else [])
     names = [c.strip().split(" ")[0] for c in state.columns.split(",")]
-    n_keys, extra = len(keys), [c for c in rows.columns if c not in {*keys, *MATCH, "saved"}]
+    extra = [c for c in rows.columns if c not in {*keys, *MATCH, "saved"}]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, st, closed = None, None, []
 
         def close() -> None:
             if with_state and current is not None:
                 closed.append((current, json.dumps(st.dump())))
 
-        def states() -> pd.DataFrame:
-            out = pd.DataFrame({k: [key[i] for key, _ in closed] for i, k in enumerate(keys)})
-            for c in keep[n_keys:]:
-                out[c] = pd.Series([None] * len(closed), dtype="object")
-            for c in names:
-                out[c] = math.nan
-            out["saved"] = [s for _, s in closed]
+        def states(schema: pa.Schema) -> pa.RecordBatch:
+            n = len(closed)
+            cols = [pa.array([key[i] for key, _ in closed], schema.field(k).type) for i, k in enumerate(keys)]
+            cols += [pa.nulls(n, schema.field(c).type) for c in emit] + [pa.nulls(n, pa.float64()) for _ in names]
+            cols.append(pa.array([s for _, s in closed], pa.string()))
             closed.clear()
-            return out
+            return pa.RecordBatch.from_arrays(cols, [*keep, *names, "saved"])
 
+        schema = None
         for batch in batches:
-            columns = [batch[c].tolist() for c in ("season", "home", "away", "gf", "gc", *extra)]
+            schema = batch.schema
+            col = {f.name: batch.column(i) for i, f in enumerate(schema)}
+            columns = [col[c].to_pylist() for c in ("season", "home", "away", "gf", "gc", *extra)]
             values, kept = [], []
             for i, (key, saved, *match) in enumerate(zip(
-                    zip(*[batch[k].tolist() for k in keys]), batch["saved"].tolist(), *columns)):
+                    zip(*[col[k].to_pylist() for k in keys]), col["saved"].to_pylist(), *columns)):
                 if key != current:
                     close()
                     current, st = key, state(key[n_league:])
@@ -235,18 +237,20 @@ def _fold_pass(rows: DataFrame, keys: list[str], n_league: int, state: Callable,
                     continue
                 kept.append(i)
                 values.append(st.step(*match))
-            out = batch[keep] if len(kept) == len(batch) else batch[keep].iloc[kept].reset_index(drop=True)
-            out = pd.concat([out, pd.DataFrame(values, columns=names, dtype="float64")], axis=1)
+            cols = [col[c] for c in keep]
+            if len(kept) < batch.num_rows:
+                cols = [c.take(pa.array(kept, pa.int64())) for c in cols]
+            cols += [pa.array(v, pa.float64()) for v in (zip(*values) if values else [[]] * len(names))]
             if with_state:
-                out["saved"] = None
-            yield out
+                cols.append(pa.nulls(len(kept), pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, [*keep, *names, *(["saved"] if with_state else [])])
             if closed:
-                yield states()
+                yield states(schema)
         close()
         if closed:
-            yield states()
+            yield states(schema)
 
-    return ordered.mapInPandas(run, ", ".join(fields))
+    return ordered.mapInArrow(run, ", ".join(fields))
 
 
 def as_matches(df: DataFrame, gf: str = "home_goals", gc: str = "away_goals") -> DataFrame:
@@ -294,7 +298,7 @@ def _grid(df: DataFrame, a: str, xs: tuple, b: str, ys: tuple) -> DataFrame:
 
 def pi_grid(matches: DataFrame, league: list[str], train: list[int]) -> DataFrame:
     """Mean absolute goal error per grid point over the training seasons."""
-    run = fold(_grid(matches, "rate", PI_LAMBDA_GRID, "transfer", PI_GAMMA_GRID), league, PiState, ["rate", "transfer"])
+    run = fold(_grid(matches, "rate", PI_LAMBDA_GRID, "transfer", PI_GAMMA_GRID), league, PiState, ["rate", "transfer"], emit=["season"])
     return (run.filter(F.col("season").isin(train)).groupBy("rate", "transfer")
             .agg(F.avg("error").alias("loss"), F.count(F.lit(1)).alias("n")))
 
@@ -304,7 +308,7 @@ def attack_defence_grid(matches: DataFrame, league: list[str], train: list[int])
     from kickline.functions.goals import deviance_term
     mu = mean_log_goals(matches, league, train)
     tagged = _grid(matches.join(mu, league), "k", POISSON_K_GRID, "edge", POISSON_HOME_GRID)
-    run = fold(tagged, league, PoissonState, ["k", "edge", "mu"])
+    run = fold(tagged, league, PoissonState, ["k", "edge", "mu"], emit=["season", "gf", "gc"])
     dev = (F.avg(deviance_term(F.col("gf"), F.col("lam_home"))) + F.avg(deviance_term(F.col("gc"), F.col("lam_away")))) / 2
     return (run.filter(F.col("season").isin(train)).groupBy("k", "edge")
             .agg(dev.alias("loss"), F.count(F.lit(1)).alias("n")))
