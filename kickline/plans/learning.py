@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from kickline.functions import goals
 from kickline.operators import compare as cmp
 from kickline.operators import scoring as sc
+from kickline.operators.joins import sized_broadcast
 
 CL = sc.CLASSES
 PROBS = [f"p_{c}" for c in CL]
@@ -199,7 +200,7 @@ def temporal_folds(cutoffs: DataFrame, n: int) -> DataFrame:
 
 
 def fold_losses(data: DataFrame, folds: DataFrame, n: int, fit: Callable) -> list[float]:
-    tagged = data.join(F.broadcast(folds), "cutoff").filter(F.col("label").isNotNull())   # one row per gameweek
+    tagged = data.join(sized_broadcast(folds), "cutoff").filter(F.col("label").isNotNull())
     return [quality(fit(tagged.filter(F.col("fold") < k), tagged.filter(F.col("fold") == k))).first().log_loss
             for k in range(1, n + 1)]
 

@@ -23,10 +23,10 @@ from kickline.sources.rename import RESULT_CODES, present_only, recode
 NOW = "epoch_us(TIMESTAMP '2001-07-01')"
 
 
-@query("p01_rename_present_only", "SELECT o_orderkey AS fixture_id, o_orderdate AS match_date, o_totalprice AS value FROM orders")
+@query("p01_rename_present_only", "SELECT o_orderkey AS fixture_id, o_orderpriority AS round, o_totalprice AS value FROM orders")
 def p01(spark, sf):
     return present_only(silver.table(spark, sf, "orders"), {
-        "o_orderkey": "fixture_id", "o_orderdate": "match_date", "o_totalprice": "value", "o_comment": "note"})
+        "o_orderkey": "fixture_id", "o_orderpriority": "round", "o_totalprice": "value", "o_comment": "note"})
 
 
 @query("p02_recode_by_dictionary", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' END AS status FROM orders")
@@ -204,7 +204,7 @@ def f03(spark, sf):
     return silver.names(spark, sf).select("raw_id", text.strip_generic(text.normalize(name)).alias("stripped"))
 
 
-@query("f04_resolve_many")
+@query("f04_resolve_many", "SELECT upper(team_name) AS raw_name, lower(team_name) AS norm, short_name, 'exact' AS how FROM fx_clubs")
 def f04(spark, sf):
     """Every name of the registry resolves; unresolved ones would raise together."""
     reg = silver.name_registry(spark, sf)
@@ -212,21 +212,21 @@ def f04(spark, sf):
     return text.require_resolved(found)
 
 
-@query("f05_day_first_dates", """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day FROM orders""")
+@query("f05_day_first_dates", """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day FROM orders""")
 def f05(spark, sf):
     o = silver.table(spark, sf, "orders")
     k = F.col("o_orderkey")
     raw = (F.when(k % 7 == 0, F.lit("31/02/x")).when(k % 2 == 0, F.date_format("o_orderdate", "dd/MM/yyyy"))
            .when(F.year("o_orderdate") >= 2000, F.date_format("o_orderdate", "dd/MM/yy"))
            .otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")))
-    return o.select("o_orderkey", dates.parse_day_first(raw).alias("day"))
+    return o.select("o_orderkey", dates.parse_day_first(raw).cast("string").alias("day"))
 
 
-@query("f06_london_calendar_day", "SELECT event_id, CAST(timezone('Europe/London', timezone('UTC', make_timestamp(kick))) AS DATE) AS day FROM fx_comp")
+@query("f06_london_calendar_day", "SELECT event_id, CAST(CAST(timezone('Europe/London', timezone('UTC', make_timestamp(kick))) AS DATE) AS VARCHAR) AS day FROM fx_comp")
 def f06(spark, sf):
     ts = F.timestamp_micros("kick")
     c = silver.competition_match(spark, sf)
-    return c.select("event_id", dates.london_day(ts).alias("day"))
+    return c.select("event_id", dates.london_day(ts).cast("string").alias("day"))
 
 
 @query("f07_epoch_milliseconds", "SELECT event_id, epoch_us(ts) // 1000 * 1000 AS at_us FROM events")

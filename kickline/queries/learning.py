@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from kickline.functions import goals
 from kickline.operators import decision as dec
+from kickline.operators.joins import sized_broadcast
 from kickline.operators.topk import best_point
 from kickline.plans import contract as ct
 from kickline.plans import learning as ln
@@ -118,7 +119,7 @@ def l13(spark, sf):
 def l14(spark, sf):
     m = silver.match(spark, sf).join(silver.cutoffs(spark, sf), ["season", "gameweek"])
     folds = ln.temporal_folds(silver.cutoffs(spark, sf), 5)
-    return (m.join(F.broadcast(folds), "cutoff").groupBy("fold")   # one row per gameweek
+    return (m.join(sized_broadcast(folds), "cutoff").groupBy("fold")
             .agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cutoff").alias("gameweeks")))
 
 

@@ -48,6 +48,9 @@ def compare(spark, con, sf, name, fn, sql) -> tuple[bool, str]:
     got_cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     if sql is None:
         return len(got) > 0, f"rows only: {len(got)}"
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    described = {d[0]: str(d[1]) for d in con.execute(f"DESCRIBE {sql}").fetchall()}
+    types = [(c, t, described[c]) for c, t in df.dtypes if c in described and kinds.get(t) != described[c]]
     cur = con.execute(sql)
     exp_cols, exp = rows_of([d[0] for d in cur.description], cur.fetchall())
     if got_cols != exp_cols:
@@ -58,7 +61,7 @@ def compare(spark, con, sf, name, fn, sql) -> tuple[bool, str]:
     if bad:
         diff = [(c, x, y) for c, x, y in zip(got_cols, *bad[0]) if repr(x) != repr(y)]
         return False, f"{len(bad)}/{len(got)} rows differ, first: {diff}"
-    return True, f"{len(got)} rows"
+    return True, f"{len(got)} rows" + (f" TYPES {types}" if types else "")
 
 
 def main(argv):
