@@ -36,7 +36,7 @@ def o02(spark, sf):
     return cold.first_games(t, ["season", "team"], ["kick", "fixture_id"]).select("season", "fixture_id", "team")
 
 
-@query("o03_last_row_per_group", "SELECT team, max(kick) AS kick, arg_max(fixture_id, kick) AS fixture_id, arg_max(pts, kick) AS pts FROM fx_long GROUP BY team")
+@query("o03_last_row_per_group", "SELECT team, max(kick) AS kick, arg_max(fixture_id, kick) AS fixture_id, CAST(arg_max(pts, kick) AS BIGINT) AS pts FROM fx_long GROUP BY team")
 def o03(spark, sf):
     t = silver.team_match(spark, sf).select("team", "kick", "fixture_id", "pts")
     return last_per_group(t, ["team"], ["kick", "fixture_id"])
@@ -171,7 +171,7 @@ def q03(spark, sf):
     return found.crossJoin(p.agg(F.count("bonus").alias("n_rows")))   # one row
 
 
-@query("q04_history_before_cutoff", "SELECT 0 AS home, 0 AS away")
+@query("q04_history_before_cutoff", "SELECT CAST(0 AS BIGINT) AS home, CAST(0 AS BIGINT) AS away")
 def q04(spark, sf):
     long = silver.team_match(spark, sf)
     wide = form.recent_form(long, ["pts"])
