@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-_local_scratch: dict[str, str] = {}
+_shipped: dict[str, str] = {}
+_staged: dict[str, SparkSession] = {}
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
@@ -23,6 +27,23 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
              .config("spark.driver.memory", driver_memory)
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once per application; their Python workers import it."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        name, path = os.path.basename(package), os.path.join(tempfile.mkdtemp(prefix="package-"), "kickline_package.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+            for folder, _, files in os.walk(package):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(folder, f)
+                        out.write(full, os.path.join(name, os.path.relpath(full, package)))
+        spark.sparkContext.addPyFile(path)
+        _shipped[app] = path
     return spark
 
 
@@ -33,17 +54,25 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach: the one named by spark.checkpoint.dir, else the warehouse.
 
-    Only a local master may fall back on a folder of its own.
+    The same rule holds for every master. What is written there is removed when the driver ends.
     """
-    root = spark.conf.get(CHECKPOINT_DIR, None)
-    app = spark.sparkContext.applicationId
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
-        root = _local_scratch.setdefault(app, tempfile.mkdtemp(prefix="kickline-"))
-    return f"{root.rstrip('/')}/kickline/{app}"
+    root = spark.conf.get(CHECKPOINT_DIR, None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    own = f"{root.rstrip('/')}/kickline/{spark.sparkContext.applicationId}"
+    _staged[own] = spark
+    return own
+
+
+@atexit.register
+def remove_staged() -> None:
+    """Deletes the folders of this driver's applications through Spark's file system."""
+    for own, spark in list(_staged.items()):
+        jsc = spark.sparkContext._jsc
+        if jsc is not None and not jsc.sc().isStopped():
+            path = spark._jvm.org.apache.hadoop.fs.Path(own)
+            path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+        _staged.pop(own)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
