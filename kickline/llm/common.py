@@ -110,9 +110,9 @@ class Bitmap:
     def of(cls, df: DataFrame, column: str, bits: int = 1 << 26) -> Bitmap:
         at = F.pmod(F.col(column), F.lit(bits))
         found = (df.select(F.shiftright(at, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("b"))
-                 .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas())  # at most bits / 64 rows
+                 .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())  # at most bits / 64 rows
         words = np.zeros(bits // 64, np.uint64)
-        words[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).view(np.uint64)
+        words[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
         return cls(words, bits)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
