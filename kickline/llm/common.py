@@ -96,6 +96,26 @@ def batched(batches: Iterator[pa.RecordBatch], most_bytes: int = 16_000_000) ->
             yield batch.slice(at, step)
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of rows equal in the first `keys` (long) columns of sorted batches; a run may span batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        of = np.stack([batch.column(k).to_numpy() for k in range(keys)], 1)
+        if held and not np.array_equal(np.array([held[-1].column(k)[held[-1].num_rows - 1].as_py() for k in range(keys)]), of[0]):
+            yield pa.Table.from_batches(held)
+            held = []
+        edges = np.r_[0, np.flatnonzero((of[1:] != of[:-1]).any(1)) + 1, len(of)].tolist()
+        for a, b in zip(edges, edges[1:], strict=False):
+            held.append(batch.slice(a, b - a))
+            if b < len(of):
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 class Bitmap:
     """A set of 64-bit hashes as bits: no false negatives, size fixed by `bits`.
 

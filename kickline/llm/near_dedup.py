@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from kickline.llm.common import Bitmap, Rolling, WordValues, batched, mixed, signed, table, texts_of
+from kickline.llm.common import Bitmap, Rolling, WordValues, batched, groups, mixed, signed, table, texts_of
 from kickline.llm.graph import components
 from kickline.llm.registry import query
 from kickline.session import stage
@@ -146,23 +146,39 @@ def linked(common, n, m, percent: int):
     return 100 * common >= percent * (n + m - common)
 
 
-def in_blocks(members: DataFrame, extra: list[str]) -> DataFrame:
-    """Rows of (hub, node, ...) dealt to cells of two blocks each, so that any two members of a hub meet once or more."""
+CELL = ["hub", "i", "j"]
+
+
+def sides(cell: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    mine = cell["mine"].to_numpy()
+    return np.flatnonzero(mine == cell["i"][0].as_py()), np.flatnonzero(mine == cell["j"][0].as_py())
+
+
+def by_cell(rows: DataFrame, run, schema: str) -> DataFrame:
+    """`run` on the rows of every cell; a task holds one cell, of at most two blocks, at a time."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in groups(batches, len(CELL)):
+            yield from run(cell).to_batches()
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(each, schema)
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Rows of (hub, node, root) dealt to cells of two blocks each, so that any two members of a hub meet once or more."""
     count = members.groupBy("hub").agg(F.count("*").alias("size"), F.countDistinct("root").alias("roots")).filter("roots > 1")
     cut = members.join(count, "hub").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("long")).withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     cells = cut.withColumn("other", other)
-    return cells.select("hub", "node", "root", *extra, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("mine"))
+    return cells.select("hub", "node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("mine"))
 
 
 def active_members(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(hub, node, root) of the members that may be linked with a member of the same hub in another component."""
-    full = in_blocks(members, []).join(nodes.select("node", "n", "regs"), "node")
+    full = in_blocks(members).join(nodes.select("node", "n", "regs"), "node").select(*CELL, "node", "root", "mine", "n", "regs")
 
-    def run(key, pdf):
-        regs, n, root = _matrix(pdf["regs"]), pdf["n"].to_numpy(), pdf["root"].to_numpy()
-        first, second = np.flatnonzero(pdf["mine"] == key[1]), np.flatnonzero(pdf["mine"] == key[2])
-        hit = np.zeros(len(pdf), bool)
+    def run(cell: pa.Table) -> pa.Table:
+        regs, n, root = _matrix(cell["regs"].to_pylist()), cell["n"].to_numpy(), cell["root"].to_numpy()
+        first, second = sides(cell)
+        hit = np.zeros(len(n), bool)
         for i in first:
             rest = second[(root[second] != root[i]) & (100 * np.minimum(n[second], n[i]) >= percent * np.maximum(n[second], n[i]))]
             if len(rest):
@@ -170,28 +186,27 @@ def active_members(members: DataFrame, nodes: DataFrame, percent: int) -> DataFr
                 got = estimates(a, regs[rest], n[i], n[rest]) >= bounds(((a != 0) | (regs[rest] != 0)).sum(-1), percent)
                 hit[rest[got]] = True
                 hit[i] |= bool(got.any())
-        return pdf.loc[hit, ["hub", "node", "root"]]
-    return full.groupBy("hub", "i", "j").applyInPandas(run, "hub long, node long, root long").distinct()
+        return cell.select(["hub", "node", "root"]).filter(pa.array(hit))
+    return by_cell(full, run, "hub long, node long, root long").distinct()
 
 
 def linked_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between members of a hub in different components, confirmed on full sets; enough of them to connect all that is linked."""
-    full = in_blocks(members, []).join(sets.select("node", "shingles"), "node")
+    full = in_blocks(members).join(sets.select("node", "shingles"), "node").select(*CELL, "node", "root", "mine", "shingles")
 
-    def run(key, pdf):
-        import pandas as pd
-        own = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-        sizes, root, node = np.array([len(x) for x in own]), pdf["root"].to_numpy(), pdf["node"].to_numpy()
+    def run(cell: pa.Table) -> pa.Table:
+        own = [np.frombuffer(x, np.uint64) for x in cell["shingles"].to_pylist()]
+        sizes, root, node = np.array([len(x) for x in own]), cell["root"].to_numpy(), cell["node"].to_numpy()
         known, codes = np.unique(np.concatenate(own), return_inverse=True)
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        first, second = np.flatnonzero(pdf["mine"] == key[1]), np.flatnonzero(pdf["mine"] == key[2])
+        first, second = sides(cell)
         name = {r: r for r in root.tolist()}  # components joined so far in this cell
 
         def top(r):
             while name[r] != r:
                 r = name[r]
             return r
-        edges = []
+        edges: list[tuple[int, int]] = []
         has = np.zeros(len(known) + 1, np.int64)
         for i in first:
             mine = top(int(root[i]))
@@ -206,8 +221,8 @@ def linked_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
                         edges.append((node[i], node[k]))
                         name[top(int(root[k]))] = top(int(root[i]))
             has[codes[starts[i]:starts[i + 1]]] = 0
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
-    return full.groupBy("hub", "i", "j").applyInPandas(run, "a long, b long")
+        return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
+    return by_cell(full, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -226,15 +241,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     members = stage(bands.join(hubs, "band").filter("node <> hub").select("node", "hub").distinct(), "members")
     near = stage(near_hubs(members, nodes, percent), "near")
 
-    wanted = Bitmap.of(members.select("node").unionByName(members.select(F.col("hub").alias("node"))).select(F.xxhash64("node").alias("h")), "h")
+    source = docs.select(F.col(key).cast("long").alias("node"), text).filter("node IS NOT NULL").withColumn("h", F.xxhash64("node"))
 
-    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batched(batches):
-            part = batch.filter(pa.array(wanted.has(batch.column(2).to_numpy())))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(x).tobytes() for x in texts_of(part.column(1))], pa.binary())], names=["node", "shingles"])
+    def sets_of(wanted: Bitmap, but: Bitmap | None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batched(batches):
+                h = batch.column(2).to_numpy()
+                part = batch.filter(pa.array(wanted.has(h) & ~but.has(h) if but else wanted.has(h)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(x).tobytes() for x in texts_of(part.column(1))], pa.binary())], names=["node", "shingles"])
+        return stage(source.mapInArrow(run, "node long, shingles binary"), "sets")
 
-    source = docs.select(F.col(key).cast("long").alias("node"), text).filter("node IS NOT NULL").withColumn("h", F.xxhash64("node"))
-    sets = stage(source.mapInArrow(full_sets, "node long, shingles binary"), "sets")
+    def marks(df: DataFrame) -> Bitmap:
+        return Bitmap.of(df.select(F.xxhash64("node").alias("h")), "h")
+
+    paired = marks(near.select("node").unionByName(near.select(F.col("hub").alias("node"))))
+    sets = sets_of(paired, None)
 
     # rows that share a key belong together
     several = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("c")).filter("c > 1").select(key)
@@ -254,6 +275,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     own = members.unionByName(members.select("hub").distinct().select(F.col("hub").alias("node"), "hub"))
     left = rooted(own, "node", "root", roots)
     active = stage(active_members(left, nodes, percent), "active")
+    sets = sets.unionByName(sets_of(marks(active), paired))
     links = stage(linked_members(active, sets, percent).unionByName(links), "links")
     roots = components(links)
 
