@@ -61,8 +61,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def grams(host: Column, path: Column) -> Column:
     """Distinct buckets of the character n-grams of host and path."""
     parts = [("h", F.concat(F.lit("."), host, F.lit("/"))), ("p", F.translate(path, UPPER, LOWER))]
-    found = [F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda g, part=part: F.pmod(F.xxhash64(F.lit(part), g), F.lit(BUCKETS)).cast("int"))
-             for part, text in parts for n in GRAMS]
+
+    def bucket(part: str):
+        return lambda g: F.pmod(F.xxhash64(F.lit(part), g), F.lit(BUCKETS)).cast("int")
+    found = [F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), bucket(part)) for part, text in parts for n in GRAMS]
     return F.array_distinct(F.concat(*found))
 
 
@@ -86,7 +88,11 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "label") -> tuple[np
     for _ in range(STEPS):
         error = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
         w, b = w - rate * (x.T @ error + RIDGE * w), b - rate * error.sum()
-    return w, float(b)
+    # calibrated for hosts that share only some n-grams with a labelled one: even chances lie a
+    # quarter into the gap between the labels
+    z = x @ w + b
+    low, high = z[y == 0].max(), z[y == 1].min()
+    return w, float(b - (low + (high - low) / 4)) if high > low else float(b)
 
 
 def block_score(host: Column, path: Column, model: tuple[np.ndarray, float]) -> Column:
