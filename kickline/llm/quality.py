@@ -38,12 +38,14 @@ def text_statistics(docs: DataFrame, text: str) -> DataFrame:
     lines = F.filter(F.split(body, "\n"), lambda x: trimmed(x) != "")
     own = docs.columns
     step = docs.select(*own, words_of(body).alias("_w"), lines.alias("_l"), F.char_length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("long").alias("_n_symbols"))
-    n = F.size("_w")
-    # three columns of words side by side: windows without looking back into the array
-    windows = F.slice(F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, F.greatest(n, F.lit(1))).alias("b"), F.slice("_w", 3, F.greatest(n, F.lit(1))).alias("c")), 1, F.greatest(n - 2, F.lit(0)))
-    step = step.select(*own, "_n_symbols", n.cast("long").alias("_n_words"), F.char_length(F.array_join("_w", "")).cast("long").alias("_word_chars"),
-                       (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("_n_dup_lines"),
-                       F.transform(windows, lambda z: F.xxhash64(z["a"], z["b"], z["c"])).alias("_h"))
+    step = step.select(*own, "_n_symbols", F.size("_w").cast("long").alias("_n_words"), F.char_length(F.array_join("_w", "")).cast("long").alias("_word_chars"),
+                       (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("_n_dup_lines"), F.transform("_w", lambda x: F.xxhash64(x)).alias("_v"))
+    # hashes of three words, made from the words' hashes and their neighbours'
+    n = F.size("_v")
+    both = F.zip_with(F.col("_v"), F.slice("_v", 2, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))
+    step = step.select(*step.columns, both.alias("_b"))
+    three = F.zip_with(F.col("_b"), F.slice("_v", 3, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))
+    step = step.select(*step.columns[:-2], F.slice(three, 1, F.greatest(n - 2, F.lit(0))).alias("_h"))
     # windows found more than once: neighbours after sorting (hash, position)
     step = step.select(*step.columns[:-1], F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).alias("_s"))
     m = F.size("_s")
@@ -54,7 +56,10 @@ def text_statistics(docs: DataFrame, text: str) -> DataFrame:
     # every such window covers three words, fewer if the next one begins within it
     reach = F.arrays_zip(F.col("_i").alias("own"), F.slice("_i", 2, F.size("_i")).alias("next"))
     covered = F.aggregate(reach, F.lit(0).cast("long"), lambda t, z: t + F.least(F.lit(3), F.coalesce(z["next"] - z["own"], F.lit(3))))
-    return step.select(*step.columns[:-1], F.coalesce(F.when(F.col("_i").isNotNull(), covered), F.lit(0).cast("long")).alias("_n_repeat_words"))
+    # through a generator, so that filters on the counts stay above it and nothing is computed twice
+    counts = ["_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words"]
+    step = step.select(*step.columns[:-1], F.coalesce(F.when(F.col("_i").isNotNull(), covered), F.lit(0).cast("long")).alias("_n_repeat_words"))
+    return step.select(*own, F.explode(F.array(F.struct(*counts))).alias("_counts")).select(*own, "_counts.*")
 
 
 def base_failed(least_words: int = 50, most_repeat: int = 50) -> Column:
