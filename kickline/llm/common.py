@@ -117,7 +117,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 class Bitmap:
-    """A set of 64-bit hashes as bits: no false negatives, size fixed by `bits`.
+    """A set of 64-bit hashes as bits, two for each hash: no false negatives, size fixed by `bits`.
 
     Used to skip rows ahead of an exact step only. A table too large for the bits makes it skip
     less; results do not change.
@@ -128,13 +128,17 @@ class Bitmap:
 
     @classmethod
     def of(cls, df: DataFrame, column: str, bits: int = 1 << 26) -> Bitmap:
-        at = F.pmod(F.col(column), F.lit(bits))
-        found = (df.select(F.shiftright(at, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("b"))
+        both = df.select(F.explode(F.array(F.col(column), F.shiftrightunsigned(column, 32))).alias("h"))
+        found = (both.select(F.shiftright(F.pmod("h", F.lit(bits)), 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(h, 64) as int))").alias("b"))
                  .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())  # at most bits / 64 rows
         words = np.zeros(bits // 64, np.uint64)
         words[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
         return cls(words, bits)
 
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes.view(np.uint64) & np.uint64(self.bits - 1)
+    def _bit(self, at: np.ndarray) -> np.ndarray:
+        at = at & np.uint64(self.bits - 1)
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        own = hashes.view(np.uint64)
+        return self._bit(own) & self._bit(own >> np.uint64(32))

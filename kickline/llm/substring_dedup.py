@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kickline.llm.common import Bitmap, Rolling, WordValues, batched, mixed, row_key, signed, table, texts_of
+from kickline.llm.common import Bitmap, Rolling, WordValues, batched, mixed, signed, table, texts_of
 from kickline.llm.registry import query
 from kickline.session import stage
 
@@ -24,7 +24,7 @@ WINDOW = 50
 #: A difference cover of the period: every residue is a difference of two members (fixed values).
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
-#: Bits of the set of repeated anchors (16 MB); a fuller set lets more windows through to the exact step.
+#: Bits of the sets of repeated anchors and windows (16 MB each); a fuller set lets more rows through to the exact steps.
 BITS = 1 << 27
 
 _words = WordValues()
@@ -64,7 +64,7 @@ def _pairs(values: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_rows(docs: DataFrame, key: str, text: str, window: int, seen: Bitmap) -> DataFrame:
-    """(h1, h2, key, _k1, _k2) for every distinct window that holds a repeated anchor in its first PERIOD words."""
+    """(h1, h2, key) for every distinct window that holds a repeated anchor in its first PERIOD words."""
     anchor = window - PERIOD + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,9 +92,9 @@ def window_rows(docs: DataFrame, key: str, text: str, window: int, seen: Bitmap)
                 at.append(np.full(len(once), i))
             if at:
                 rows = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(h1))), pa.array(signed(np.concatenate(h2))), *[batch.column(c).take(rows) for c in (0, 2, 3)]],
-                                                 names=["h1", "h2", key, "_k1", "_k2"])
-    return docs.select(key, text, "_k1", "_k2").mapInArrow(run, f"h1 long, h2 long, `{key}` {dict(docs.dtypes)[key]}, _k1 long, _k2 long")
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(h1))), pa.array(signed(np.concatenate(h2))), batch.column(0).take(rows)],
+                                                 names=["h1", "h2", key])
+    return docs.select(key, text).mapInArrow(run, f"h1 long, h2 long, `{key}` {dict(docs.dtypes)[key]}")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -106,16 +106,23 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """
     if window <= PERIOD:
         raise ValueError(f"a window needs more than {PERIOD} words")
-    keyed = docs.select(key, text, *row_key(key, text))
+    keyed = docs.select(key, text, F.xxhash64(key).alias("_k"))
     known = keyed.filter(F.col(key).isNotNull())
     shared = (anchor_rows(known, key, text, window).groupBy("h").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
               .filter("lo < hi").select("h"))
     seen = Bitmap.of(shared, "h", BITS)
     windows = stage(window_rows(known, key, text, window, seen), "windows")
-    sources = windows.groupBy("h1", "h2").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo < hi").drop("hi")
-    verdict = stage(windows.join(sources, ["h1", "h2"]).filter(F.col(key) > F.col("lo"))
-                    .groupBy("_k1", "_k2").agg(F.collect_set("h1").alias("bad")), "verdict")  # a document's own windows
-    marked = Bitmap.of(verdict, "_k1")
+    sources = stage(windows.groupBy("h1", "h2").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo < hi").drop("hi"), "sources")
+    repeated = Bitmap.of(sources, "h1", BITS)
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(repeated.has(batch.column(0).to_numpy())))
+
+    # rows of one key have one list: what is bad for a key is bad in all its texts
+    verdict = stage(windows.mapInArrow(often, windows.schema).join(sources, ["h1", "h2"]).filter(F.col(key) > F.col("lo"))
+                    .groupBy(key).agg(F.collect_set("h1").alias("bad")), "verdict")  # a document's own windows
+    marked = Bitmap.of(verdict.select(F.xxhash64(key).alias("_k")), "_k")
 
     def answer(batch, lists):
         n_words, n_removed, kept = [], [], []
@@ -155,7 +162,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         for batch in batched(batches):
             yield answer(batch, batch.column(2).to_pylist())
 
-    touched = (keyed.mapInArrow(maybe, keyed.schema).join(verdict, ["_k1", "_k2"], "left").select(key, text, "bad").mapInArrow(cut, schema))
+    touched = (keyed.mapInArrow(maybe, keyed.schema).join(verdict, key, "left").select(key, text, "bad").mapInArrow(cut, schema))
     return keyed.mapInArrow(clean, schema).unionByName(touched)
 
 
