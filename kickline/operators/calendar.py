@@ -68,10 +68,11 @@ def next_predictable(status: DataFrame) -> DataFrame:
             .groupBy("season").agg(F.min("gameweek").alias("next_gameweek")))
 
 
-def season_index(fixtures: DataFrame, played: Column, first: int = 1, last: int = 53) -> DataFrame:
-    """Every gameweek number of every season, present or not."""
-    spine = (fixtures.select("season").distinct()
-             .select("season", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("gameweek")))
+def season_index(fixtures: DataFrame, played: Column, first: int = 1) -> DataFrame:
+    """Every gameweek number of every season up to the last of any season, present or not."""
+    last = fixtures.agg(F.max("gameweek").alias("_last"))   # one row
+    spine = (fixtures.select("season").distinct().crossJoin(F.broadcast(last))
+             .select("season", F.explode(F.sequence(F.lit(first), F.col("_last").cast("int"))).alias("gameweek")))
     agg = (fixtures.groupBy("season", "gameweek")
            .agg(F.count(F.lit(1)).alias("n"), F.count_if(played).alias("n_played"), F.min("kick").alias("cutoff")))
     return (spine.join(agg, ["season", "gameweek"], "left")

@@ -238,9 +238,14 @@ def importance(train: DataFrame, features: list[str], seed: int = 42) -> DataFra
 
 
 def enlarge(df: DataFrame, copies: int, features: list[str], noise: float = 0.05, seed: int = 7) -> DataFrame:
-    """Copies of every row with Gaussian noise, for scale tests."""
-    many = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    return many.withColumns({f: F.col(f) + noise * F.randn(seed + i) for i, f in enumerate(features)})
+    """A draw with replacement of about `copies` times the rows, for scale tests.
+
+    Every feature gets Gaussian noise of `noise` times its own standard deviation.
+    """
+    spread = df.agg(*[F.coalesce(F.stddev(f), F.lit(0.0)).alias(f"_sd_{f}") for f in features])   # one row
+    drawn = df.sample(withReplacement=True, fraction=float(copies), seed=seed).crossJoin(F.broadcast(spread))
+    noisy = {f: F.col(f) + noise * F.col(f"_sd_{f}") * F.randn(seed + i) for i, f in enumerate(features)}
+    return drawn.withColumns(noisy).drop(*[f"_sd_{f}" for f in features])
 
 
 def seed_stability(train: DataFrame, test: DataFrame, features: list[str], seeds: list[int], rule) -> DataFrame:

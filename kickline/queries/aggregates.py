@@ -278,7 +278,7 @@ def o05(spark, sf):
     return cal.next_predictable(gw_status(spark, sf))
 
 
-@query("a22_season_index", f"""WITH g AS (SELECT DISTINCT season, CAST(unnest(range(1, 54)) AS INT) AS gameweek FROM fx_match), a AS (SELECT season, gameweek, count(*) AS n, count(*) FILTER (WHERE kick < {NOW}) AS n_played, min(kick) AS cutoff FROM fx_match GROUP BY ALL)
+@query("a22_season_index", f"""WITH g AS (SELECT DISTINCT season, CAST(unnest(range(1, (SELECT max(gameweek) + 1 FROM fx_match))) AS INT) AS gameweek FROM fx_match), a AS (SELECT season, gameweek, count(*) AS n, count(*) FILTER (WHERE kick < {NOW}) AS n_played, min(kick) AS cutoff FROM fx_match GROUP BY ALL)
     SELECT g.season, g.gameweek, coalesce(n, 0) AS n, coalesce(n_played, 0) AS n_played, cutoff, CASE WHEN coalesce(n, 0) = 0 THEN 'empty' WHEN n = n_played THEN 'complete' WHEN n_played > 0 THEN 'in_progress' ELSE 'pending' END AS state FROM g LEFT JOIN a USING (season, gameweek)""")
 def a22(spark, sf):
     return cal.season_index(silver.match(spark, sf).select("season", "gameweek", "kick"), F.col("kick") < played_until())

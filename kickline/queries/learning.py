@@ -174,10 +174,18 @@ def l19(spark, sf):
     return rounded(ln.importance(train_test(spark, sf)[0], FEATS).orderBy(F.desc("importance"), "feature").limit(10), "importance")   # top-n report
 
 
-@query("l20_enlargement", "SELECT season, 3 * count(*) AS n FROM fx_match WHERE season BETWEEN 1995 AND 1999 GROUP BY season")
+@query("l20_enlargement", "SELECT unnest([" + ", ".join(f"'{f}'" for f in FEATS) + "]) AS feature, true AS size_near, true AS mean_near, true AS deviation_near")
 def l20(spark, sf):
-    big = ln.enlarge(train_test(spark, sf)[0], 3, FEATS[:4])
-    return big.groupBy("season").agg(F.count(F.lit(1)).alias("n"))
+    """Size, mean and deviation of every enlarged column against those of the column itself."""
+    train = train_test(spark, sf)[0]
+    size = [F.count(F.lit(1)).alias("n")]
+    moments = [x for f in FEATS for x in (F.mean(f).alias(f"m_{f}"), F.stddev(f).alias(f"s_{f}"))]
+    was, now = train.agg(*size, *moments), ln.enlarge(train, 3, FEATS).agg(*size, *moments)   # one row each
+    both = was.select(F.struct("*").alias("a")).crossJoin(now.select(F.struct("*").alias("b")))
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), (F.abs(F.col("b.n") / F.col("a.n") - 3) < 0.3).alias("size_near"),
+                              F.coalesce(F.abs(F.col(f"a.m_{f}") - F.col(f"b.m_{f}")) <= 0.2 * F.col(f"a.s_{f}"), F.lit(True)).alias("mean_near"),
+                              F.coalesce(F.abs(F.col(f"b.s_{f}") - F.col(f"a.s_{f}")) <= 0.15 * F.col(f"a.s_{f}"), F.lit(True)).alias("deviation_near")) for f in FEATS])
+    return both.select(F.explode(rows).alias("x")).select("x.*")
 
 
 @query("l21_seed_stability")

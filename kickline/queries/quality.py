@@ -23,6 +23,7 @@ from kickline.queries.scores import RULE, labelled
 from kickline.queries.windows import rounded
 from kickline.sources import registry as reg
 from kickline.sources import silver
+from kickline.session import scratch_path
 from kickline.sources.versions import VersionedTable
 
 P = _LABEL.format(p="p")
@@ -388,3 +389,44 @@ def g04(spark, sf):
 @query("g05_announcement_summary", f"SELECT season, gameweek, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {P} = '{c}') AS n_{c}" for c in CLASSES) + ", round(avg(greatest(p_away, p_draw, p_home)), 6) AS mean_confidence FROM fx_pred GROUP BY ALL")
 def g05(spark, sf):
     return rounded(logs.announcement_summary(labelled(spark, sf), ["season", "gameweek"], "said", ["p_away", "p_draw", "p_home"]), "mean_confidence")
+
+
+_VERSIONS = """SELECT model, CAST(season AS VARCHAR) AS version, CAST(count(DISTINCT gameweek) AS INT) AS n_features,
+    CASE WHEN season % 2 = 0 THEN 'even' ELSE 'odd' END AS feature_set_version, max(predicted_at) AS built_at, count(*) AS n FROM fx_emitted GROUP BY model, season"""
+
+
+def _model_versions(spark, sf):
+    """Every season of a model's emissions stands for one trained version."""
+    return (silver.emissions(spark, sf).groupBy("model", "season")
+            .agg(F.countDistinct("gameweek").cast("int").alias("n_features"), F.max("predicted_at").alias("built_at"), F.count(F.lit(1)).alias("n"))
+            .select("model", F.col("season").cast("string").alias("version"), "n_features",
+                    F.when(F.col("season") % 2 == 0, "even").otherwise("odd").alias("feature_set_version"), "built_at", "n"))
+
+
+@query("v10_model_inventory", f"""WITH v AS ({_VERSIONS}), p AS (SELECT model, max(version) AS version FROM v WHERE CAST(version AS INT) % 3 <> 0 GROUP BY model)
+    SELECT v.model, v.version, n_features, feature_set_version, built_at, p.version IS NOT NULL AS production,
+    CAST(v.version AS BIGINT) % 4 AS n_files, CAST(v.version AS BIGINT) % 4 > 0 AS servable FROM v LEFT JOIN p ON v.model = p.model AND v.version = p.version""")
+def v10(spark, sf):
+    """Metadata as JSON lines, a pointer per model to its latest promoted version, and a listing of model files."""
+    at = scratch_path(spark, "v10")
+    own = _model_versions(spark, sf)
+    own.drop("n").write.json(f"{at}/metadata")
+    meta = spark.read.schema(reg.MODEL_META).json(f"{at}/metadata")
+    year = F.col("version").cast("int")
+    pointers = meta.filter(year % 3 != 0).groupBy("model").agg(F.max("version").alias("version"))
+    files = meta.filter(year % 4 > 0).select("model", "version", F.explode(F.sequence(F.lit(1), year % 4)).alias("file_no"))
+    return reg.model_inventory(meta, pointers, files)
+
+
+@query("v11_rejected_attempts", f"""WITH v AS ({_VERSIONS}), m AS (SELECT model, avg(n) AS mean_n FROM v GROUP BY model)
+    SELECT model, version, 'rejected' AS outcome, 'fewer forecasts than usual' AS reason, built_at AS "at" FROM v JOIN m USING (model) WHERE n < mean_n""")
+def v11(spark, sf):
+    """Two appends, one per half of the seasons; both are read back."""
+    path = scratch_path(spark, "v11")
+    own = _model_versions(spark, sf)
+    usual = own.groupBy("model").agg(F.avg("n").alias("mean_n"))
+    failed = (own.join(usual, "model").filter("n < mean_n")
+              .select("model", "version", F.lit("fewer forecasts than usual").alias("reason"), F.col("built_at").alias("at")))
+    for half in (0, 1):
+        reg.log_rejections(failed.filter(F.col("version").cast("int") % 2 == half), path)
+    return reg.rejections(spark, path)

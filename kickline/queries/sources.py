@@ -114,8 +114,7 @@ def s07(spark, sf):
     opt = {"header": "true"}
     for part, cols in ((m.filter(F.col("season") < 1997), ["fixture_id", "home"]), (m.filter(F.col("season") > 1997), ["fixture_id", "home", "away"])):
         part.select("season", *cols).write.mode("append").partitionBy("season").options(**opt).csv(root)
-    seasons = list(range(1990, 2010))
-    return landing.read_seasons(spark, root, seasons).select("season", F.col("fixture_id").cast("long"), "home", "away")
+    return landing.read_seasons(spark, root, landing.landed_seasons(spark, root)).select("season", F.col("fixture_id").cast("long"), "home", "away")
 
 
 @query("s08_append_only_raw", "SELECT '20240101T000000Z' AS stamp, count(*) AS n FROM fx_match UNION ALL SELECT '20240201T000000Z', count(*) FILTER (WHERE season > 1999) FROM fx_match")

@@ -63,6 +63,14 @@ def usable(df: DataFrame, required: list[str]) -> DataFrame:
     return df.dropna(subset=required)
 
 
+def landed_seasons(spark: SparkSession, root: str) -> list[int]:
+    """The seasons that have a folder under `root`, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    names = [f.getPath().getName() for f in found]
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith("season=") and n.partition("=")[2].isdigit())
+
+
 def read_seasons(spark: SparkSession, root: str, seasons: list[int], file: str = "") -> DataFrame:
     """Concatenates the seasons that were landed under season=<s>; columns may differ by season."""
     out = None

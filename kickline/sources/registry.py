@@ -108,3 +108,29 @@ def cleanup_plan(emitted: DataFrame, group: list[str], production_model: str) ->
             .withColumn("action", F.when(F.col("_gov").isNull(), "warn").when(~chosen, "drop")
                         .when(F.col("pre_deadline"), "keep").otherwise("keep_late"))
             .drop("_gov", "pre_deadline"))
+
+
+MODEL_META = "model string, version string, n_features int, feature_set_version string, built_at bigint"
+REJECTED = "model string, version string, outcome string, reason string, at bigint"
+
+
+def model_inventory(meta: DataFrame, pointers: DataFrame, files: DataFrame) -> DataFrame:
+    """One row per model version: its metadata, whether production points at it, and its model files.
+
+    A version can be served only if it has a file; papers alone do not make a model.
+    """
+    own = files.groupBy("model", "version").agg(F.count(F.lit(1)).alias("n_files"))
+    live = pointers.select("model", "version", F.lit(True).alias("production")).distinct()
+    return (meta.join(live, ["model", "version"], "left").join(own, ["model", "version"], "left")
+            .withColumns({"production": F.coalesce("production", F.lit(False)), "n_files": F.coalesce("n_files", F.lit(0))})
+            .withColumn("servable", F.col("n_files") > 0))
+
+
+def log_rejections(attempts: DataFrame, path: str) -> None:
+    """Appends candidates that were not promoted, with the reason; earlier lines stay."""
+    rows = attempts.select("model", "version", F.lit("rejected").alias("outcome"), "reason", "at")
+    rows.write.mode("append").json(path)
+
+
+def rejections(spark, path: str) -> DataFrame:
+    return spark.read.schema(REJECTED).json(path)

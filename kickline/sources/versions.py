@@ -22,10 +22,19 @@ class TableMissing(FileNotFoundError):
 
 
 def content_hash(df: DataFrame) -> tuple[int, str]:
-    """Row count and an order-free hash of the whole content, one aggregate."""
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
-    return row.n, f"{row.n}:{row.h}:{','.join(df.columns)}"
+    """Row count and two order-free hashes of the whole content, one aggregate.
+
+    A null is told from every value and counts by its place; names and types are part of the content.
+    """
+    marked = [x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    total = [F.sum(h.cast("decimal(38,0)")) for h in (F.xxhash64(*marked), F.xxhash64(F.lit("second"), *marked))]
+    row = df.agg(F.count(F.lit(1)).alias("n"), total[0].alias("h"), total[1].alias("g")).first()
+    return row.n, f"{row.n}:{row.h}:{row.g}:{','.join(f'{c} {t}' for c, t in df.dtypes)}"
+
+
+def same_rows(one: DataFrame, other: DataFrame) -> bool:
+    """Whether two tables of equal size and columns hold the same rows, repeats included."""
+    return one.columns == other.columns and not one.exceptAll(other).take(1)
 
 
 class VersionedTable:
@@ -79,7 +88,8 @@ class VersionedTable:
         w = df.write.mode("errorifexists").option("compression", "snappy")
         (w.partitionBy(*partition_by) if partition_by else w).parquet(self._dir(version))
         n, content = content_hash(self.spark.read.parquet(self._dir(version)))
-        same = [r.version for r in logged if r.content == content]
+        alike = dict.fromkeys(r.version for r in logged if r.content == content)
+        same = [v for v in alike if same_rows(self.spark.read.parquet(self._dir(version)), self.spark.read.parquet(self._dir(v)))]
         live = same[0] if same else version
         if same:   # the copy just written repeats an archived version
             fs, p = self._fs(self._dir(version))

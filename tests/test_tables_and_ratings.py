@@ -122,3 +122,30 @@ def test_contract(spark):
     assert names.select(ct.version_column(F.col("n"))).first()[0] == ct.feature_set_version()
     assert ct.incompatibility(ct.feature_set_version(), ["home_pts_u5"]) == []
     assert len(ct.incompatibility("v1.x.3", ["nope"])) == 2
+
+
+def test_versions_tell_nulls_types_and_order_apart(spark):
+    from kickline.sources.versions import VersionedTable
+    t = VersionedTable(spark, "nulls", unique=True)
+    rows = "a long, b long"
+    first = t.write(spark.createDataFrame([(1, None), (None, 2)], rows), "first")
+    swapped = t.write(spark.createDataFrame([(None, 1), (2, None)], rows), "swapped")
+    typed = t.write(spark.createDataFrame([(1, None), (None, 2)], "a int, b int"), "typed")
+    again = t.write(spark.createDataFrame([(None, 2), (1, None)], rows), "again")
+    assert len({first, swapped, typed}) == 3 and again == first
+    assert sorted(map(tuple, t.read().collect()), key=str) == [(1, None), (None, 2)]
+    assert sorted(map(tuple, t.read(swapped).collect()), key=str) == [(2, None), (None, 1)]
+
+
+def test_entry_runs_from_another_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import importlib.util as u; from pyspark.sql import SparkSession\n"
+            "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+            f"s = u.spec_from_file_location('__spark_entry__', {repo!r} + '/__spark_entry__.py'); m = u.module_from_spec(s); s.loader.exec_module(m)\n"
+            "print('rows', m.queries()['r01_elo'](spark, '/root/testdata/sf0.001').count())")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows" in said.stdout, said.stderr[-800:]
