@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from kickline.llm.common import batched, row_key, table
@@ -27,6 +28,8 @@ LEAF_CHARS = 32_768
 #: First width of a join's window on each side; longer than any special token.
 WINDOW = 64
 MEMO = 300_000
+#: Unknown words encoded in one call.
+AT_ONCE = 1_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -39,20 +42,33 @@ def tokenizer(path: str):
 
 
 class Words(dict):
-    """Word without blank or line end -> its ids as int32 bytes and its tokens joined by a blank."""
+    """Word without blank or line end -> for its tokens: ids (int32 bytes), first code points (int64 bytes) and whether a part of the word starts there (bool bytes)."""
 
     def __init__(self, path: str):
-        self.model = tokenizer(path)
-        self.joins = self.model.decoder is None  # then decoding joins the tokens by blanks
+        self.path = path
 
-    def __missing__(self, word: str) -> tuple[bytes, str]:
-        if len(self) >= MEMO:
+    def of(self, distinct: list[str]) -> list[tuple[bytes, bytes, bytes]]:
+        """The values of distinct words; unknown ones are encoded together, parted by blanks."""
+        new = [w for w in distinct if w not in self]
+        if len(self) + len(new) > MEMO:
             self.clear()
-        ids = self.model.encode(word, add_special_tokens=False).ids
-        value = np.asarray(ids, np.int32).tobytes(), self.model.decode(ids, skip_special_tokens=False) if self.joins else ""
-        if len(word) <= 64:
-            self[word] = value
-        return value
+            new = distinct
+        self[""] = b"", b"", b""
+        new = [w for w in new if w]
+        for k in range(0, len(new), AT_ONCE):
+            some = new[k:k + AT_ONCE]
+            part = Part.of(" ".join(some), 0, self.path)
+            places = np.cumsum([0, *[len(w) + 1 for w in some]])
+            cuts = np.searchsorted(part.starts, places)
+            ids, heads = part.ids.tobytes(), part.heads.tobytes()
+            starts = (part.starts - np.repeat(places[:-1], np.diff(cuts))).tobytes()
+            for w, a, b in zip(some, cuts.tolist(), cuts[1:].tolist(), strict=False):
+                self[w] = ids[4 * a:4 * b], starts[8 * a:8 * b], heads[a:b]
+        found = [self[w] for w in distinct]
+        for w in new:
+            if len(w) > 64:
+                del self[w]
+        return found
 
 
 @functools.lru_cache(maxsize=4)
@@ -68,13 +84,39 @@ def words_part(path: str) -> bool:
     return all(model.encode(p, add_special_tokens=False).ids == [i for w in re.split("[ \n]", p) if w for i in model.encode(w, add_special_tokens=False).ids] for p in probe)
 
 
-def encode_text(text: str, path: str) -> tuple[bytes, str | None]:
-    """Ids as int32 bytes, and the decoded text where it follows from the words."""
-    if not words_part(path):
-        return np.asarray(tokenizer(path).encode(text, add_special_tokens=False).ids, np.int32).tobytes(), None
-    memo = words(path)
-    found = [memo[w] for w in text.replace("\n", " ").split(" ") if w]
-    return b"".join([a for a, _ in found]), " ".join([b for a, b in found if a]) if memo.joins else None
+@functools.lru_cache(maxsize=4)
+def tokens(path: str) -> pa.Array | None:
+    """The tokens by id if decoding joins them by blanks, else None."""
+    model = tokenizer(path)
+    return pa.array([model.id_to_token(i) for i in range(model.get_vocab_size(with_added_tokens=True))], pa.string()) if model.decoder is None else None
+
+
+def decode(offsets: np.ndarray, ids: np.ndarray, path: str) -> pa.Array:
+    """The tokenizer's decoding of all ids of every text."""
+    if tokens(path) is not None:
+        return pc.binary_join(_lists(offsets, tokens(path).take(pa.array(ids))), " ")
+    return pa.array([tokenizer(path).decode(ids[a:b].tolist(), skip_special_tokens=False) for a, b in zip(offsets, offsets[1:], strict=False)], pa.string())
+
+
+def encode_short(texts: pa.Array, path: str) -> list[pa.Array]:
+    """Ids and decoded text of every text of a batch; where words part, each distinct word of the batch is looked up once."""
+    if words_part(path):
+        split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        edges = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        coded = split.flatten().dictionary_encode()
+        codes, found = coded.indices.to_numpy(), words(path).of(coded.dictionary.to_pylist())
+        sizes = np.array([len(x[0]) // 4 for x in found], np.int64)
+        flat, firsts, n = np.frombuffer(b"".join([x[0] for x in found]), np.int32), np.cumsum(sizes) - sizes, sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids, offsets = flat[np.repeat(firsts[codes] - ends[:-1], n) + np.arange(ends[-1])], ends[edges]
+    else:
+        own = [np.asarray(tokenizer(path).encode(x or "", add_special_tokens=False).ids, np.int32) for x in texts.to_pylist()]
+        ids, offsets = np.concatenate([np.zeros(0, np.int32), *own]), np.cumsum([0, *map(len, own)])
+    return [_lists(offsets, pa.array(ids)), decode(offsets, ids, path)]
+
+
+def _lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
 
 class Part:
@@ -91,6 +133,20 @@ class Part:
         heads = np.asarray([k == 0 or w is None or w != own[k - 1] for k, w in enumerate(own)], bool)
         return cls(np.asarray(found.ids, np.int32), starts, heads, begin, begin + len(text))
 
+    @classmethod
+    def leaf(cls, text: str, begin: int, path: str) -> Part:
+        """The same as `of`; where words part, from the words remembered."""
+        if not words_part(path):
+            return cls.of(text, begin, path)
+        split = text.replace("\n", " ").split(" ")
+        distinct = list(dict.fromkeys(split))
+        known = dict(zip(distinct, words(path).of(distinct), strict=True))
+        found = [known[w] for w in split]
+        places = np.cumsum([0, *[len(w) + 1 for w in split[:-1]]]) + begin
+        ids = np.frombuffer(b"".join([x[0] for x in found]), np.int32)
+        starts = np.frombuffer(b"".join([x[1] for x in found]), np.int64) + np.repeat(places, [len(x[0]) // 4 for x in found])
+        return cls(ids, starts, np.frombuffer(b"".join([x[2] for x in found]), bool), begin, begin + len(text))
+
 
 def join(left: Part, right: Part, text: str, origin: int, path: str) -> Part:
     """The encoding of left + right; `text` holds the stretch from `origin` on."""
@@ -139,11 +195,6 @@ def join_tree(parts: list[Part], text: str, path: str) -> Part:
     return parts[0]
 
 
-def _rows(ids: list[bytes], decoded: list[str]) -> list[pa.Array]:
-    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-    return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32))), pa.array(decoded, pa.string())]
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """All columns of `docs` but `text`, plus `_ids` array<int> and `_decoded` string.
 
@@ -157,12 +208,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", leaf_chars: int = LEA
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batched(batches, 4_000_000):
-            ids, decoded = [], []
-            for body in batch.column(n).to_pylist():
-                own, said = encode_text(body or "", path)
-                ids.append(own)
-                decoded.append(said if said is not None else tokenizer(path).decode(np.frombuffer(own, np.int32).tolist(), skip_special_tokens=False))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *_rows(ids, decoded)], names=[*rest, "_ids", "_decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *encode_short(batch.column(n), path)], names=[*rest, "_ids", "_decoded"])
 
     size = F.coalesce(F.char_length(text), F.lit(0))
     small = docs.filter(size <= leaf_chars).select(*rest, text).mapInArrow(short, ", ".join([*kinds, "_ids array<int>", "_decoded string"]))
@@ -181,7 +227,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", leaf_chars: int = LEA
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batched(batches, 1_000_000):
-            found = [Part.of(body, at, path) for at, body in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            found = [Part.leaf(body, at, path) for at, body in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([x.tobytes() for x in xs], pa.binary()) for xs in
                                               ([p.ids for p in found], [p.starts for p in found], [p.heads for p in found])]],
                                              names=["_k1", "_k2", "_at", "_part", "_i", "_s", "_h"])
@@ -195,8 +241,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", leaf_chars: int = LEA
         body = "".join(pdf["_part"])
         parts = [Part(np.frombuffer(i, np.int32), np.frombuffer(s, np.int64), np.frombuffer(h, bool), at, at + len(x))
                  for i, s, h, at, x in zip(pdf["_i"], pdf["_s"], pdf["_h"], pdf["_at"], pdf["_part"], strict=True)]
-        ids = join_tree(parts, body, path).ids.tolist()
-        return pd.DataFrame({"_k1": [key[0]], "_k2": [key[1]], "_ids": [ids], "_decoded": [tokenizer(path).decode(ids, skip_special_tokens=False)]})
+        ids = join_tree(parts, body, path).ids
+        return pd.DataFrame({"_k1": [key[0]], "_k2": [key[1]], "_ids": [ids], "_decoded": decode(np.array([0, len(ids)]), ids, path).to_pylist()})
 
     joined = encoded.groupBy("_k1", "_k2").applyInPandas(tree, "_k1 long, _k2 long, _ids array<int>, _decoded string")
     large = keyed.drop(text).join(joined, ["_k1", "_k2"]).select(*rest, "_ids", "_decoded")
