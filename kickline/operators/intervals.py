@@ -10,7 +10,6 @@ from kickline.operators.windows import lookback, running
 from kickline.session import stage
 
 OPEN_END_US = 4_102_358_400_000_000   # fixed value: 2099-12-31
-GRID_ROWS = 100_000
 
 
 def validity(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
@@ -50,21 +49,12 @@ def valid_at(intervals: DataFrame, by: list[str], instants: DataFrame, at: str,
     No interval is paired with every instant it covers. The distinct instants are
     numbered; an interval is split into O(log instants) aligned runs, totals and
     the `top_n` largest values are kept per run, and an instant adds up the runs
-    above it. Up to GRID_ROWS instants are numbered from a broadcast array, more
-    of them by as-of steps.
+    above it.
     """
     keep = intervals.select(*by, value, "valid_from", "valid_to", *[c.alias(o) for o, c in sums.items() if o != value])
     cal = instants.select(F.col(at).cast("long").alias("_at")).filter(F.col("_at").isNotNull()).distinct()
     n = cal.count()
-    if n <= GRID_ROWS:
-        cal = cal.withColumn("_i", F.row_number().over(Window.orderBy("_at")) - 1)
-        grid = cal.agg(F.sort_array(F.collect_list("_at")).alias("_grid"))
-        steps = max(n, 1).bit_length()
-        ranked = (keep.crossJoin(F.broadcast(grid))   # one row
-                  .withColumn("_first", _lower_bound(F.col("_grid"), F.col("valid_from"), steps))
-                  .withColumn("_last", _lower_bound(F.col("_grid"), F.col("valid_to"), steps) - 1).drop("_grid"))
-    else:
-        cal, ranked = _rank_by_asof(cal, keep)
+    cal, ranked = _rank_by_asof(cal, keep)
     # read by the totals and by the largest values
     ranked = stage(ranked.filter(F.col("_first") <= F.col("_last")).drop("valid_from", "valid_to"), "ranked")
     levels = max(n - 1, 1).bit_length()
@@ -92,7 +82,7 @@ def valid_at(intervals: DataFrame, by: list[str], instants: DataFrame, at: str,
 
 
 def _rank_by_asof(cal: DataFrame, intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Numbers the instants and the interval ends without a broadcast array."""
+    """Numbers the instants and the interval ends by as-of steps."""
     numbered = (running(cal.withColumn("_k", F.lit(1)), ["_k"], ["_at"], ordinal="_o")
                 .select("_k", "_at", (F.col("_o") - 1).alias("_i"), "_o"))
     out = intervals.withColumn("_k", F.lit(1))

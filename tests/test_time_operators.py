@@ -115,9 +115,7 @@ def test_asof_with_two_histories_against_brute_force(sparks):
         assert got[oid] == (a[-1][1] if a else None, a[-1][2] if a else None, b[-1][3] if b else None)
 
 
-@pytest.mark.parametrize("grid_rows", [100_000, 3])
-def test_interval_totals_against_brute_force(spark, monkeypatch, grid_rows):
-    monkeypatch.setattr(intervals, "GRID_ROWS", grid_rows)
+def test_interval_totals_against_brute_force(spark):
     rng = random.Random(6)
     rows = [(rng.choice("XXY"), i % 20, i, rng.randrange(0, 40) * 10, rng.randrange(1, 99)) for i in range(120)]
     df = spark.createDataFrame(rows, "club string, player long, id long, day long, value long")
