@@ -1,7 +1,8 @@
 """Toxicity classifier, regularised by counterfactuals.
 
 A logistic regression on the words a text holds and on their first PREFIX letters, which inflected
-forms share (hashed, each counted once). For every labelled text
+forms share (hashed, each counted once). Names of groups of people are a feature as a whole only, so
+nothing else of a text changes with them. For every labelled text
 that names a group of people the name is swapped for the others of its kind, and the squared change
 of the logit is added to the loss: which group is named must not move the score. The fit uses
 a sample of bounded size; all texts are scored.
@@ -26,6 +27,7 @@ IDENTITY = (
     "muslims christians jews hindus buddhists atheists", "muslim christian jewish hindu buddhist atheist",
     "gay straight lesbian bisexual transgender", "gays lesbians", "immigrants refugees foreigners citizens",
     "american mexican chinese african european indian arab russian", "old young", "disabled blind deaf", "rich poor")
+NAMES = frozenset(name.encode() for line in IDENTITY for name in line.split())
 #: Labelled rows of the fit, at most; chosen by a hash of their id.
 FIT_ROWS = 20_000
 BUCKETS = 1 << 18
@@ -35,11 +37,15 @@ LEAST_TEXTS = 5
 PREFIX = 4
 #: Weight of the swap penalty and of the squared weights; steps of the fit.
 SWAP, RIDGE, STEPS = 1.0, 5e-4, 100
+_OWNS = ("'s".encode(), "\u2019s".encode())
 _EDGES = b".,!?;:\"'()[]{}*#$%&<>|-_/\\"
 
 
 class Buckets(dict):
-    """Word -> buckets of the word without the punctuation around it and of its first letters; remembers at most `most`."""
+    """Word -> buckets of the word without the punctuation around it and of its first letters; remembers at most `most`.
+
+    A group name, also with 's, has the bucket of the name alone.
+    """
 
     def __init__(self, most: int = 400_000):
         self.most = most
@@ -48,11 +54,14 @@ class Buckets(dict):
         if len(self) >= self.most:
             self.clear()
         bare = word.strip(_EDGES)
+        for ending in _OWNS:
+            if bare.endswith(ending) and bare[:-len(ending)] in NAMES:
+                bare = bare[:-len(ending)]
         value = ()
         if bare:
             letters = bare.decode()
             value = (bucket_of(bare),)
-            if len(letters) > PREFIX:
+            if len(letters) > PREFIX and bare not in NAMES:
                 value += (bucket_of(letters[:PREFIX].encode() + b"*"),)
         self[word] = value
         return value
@@ -71,10 +80,21 @@ def buckets(text: bytes) -> np.ndarray:
     return np.sort(np.fromiter(found, np.int32, len(found)))
 
 
-def swaps() -> list[tuple[int, int]]:
-    """(bucket of a name, bucket of another name of its kind)."""
-    kinds = [[bucket_of(w.encode()) for w in line.split()] for line in IDENTITY]
-    return [(a, b) for kind in kinds for a in kind for b in kind if a != b]
+def swaps(features: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+    """(bucket of a name, bucket of another name of its kind, texts in which the one gives way to the other).
+
+    In texts that hold both already, the name goes and no bucket comes: -1.
+    """
+    flat, row = np.concatenate(features), np.repeat(np.arange(len(features)), [len(x) for x in features])
+    named = np.isin(flat, [bucket_of(w) for w in NAMES])
+    flat, row = flat[named], row[named]
+    for line in IDENTITY:
+        kind = [bucket_of(w.encode()) for w in line.split()]
+        held = np.stack([np.bincount(row[flat == x], minlength=len(features)) for x in kind], 1)
+        both = held.T @ held
+        for i, j in itertools.permutations(range(len(kind)), 2):
+            yield kind[i], kind[j], int(both[i, i] - both[i, j])
+            yield kind[i], -1, int(both[i, j])
 
 
 def fit(features: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
@@ -95,7 +115,7 @@ def fit(features: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, flo
     scale = np.append(np.abs(np.log(share[0] / share[1])), 1.0)
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())) / len(labels)
     # one term for every labelled text and swap of a name it holds
-    pairs = [(at[a], at[b], int(spread[a])) for a, b in swaps() if spread[a] and at[a] >= 0]
+    pairs = [(at[a], at[b] if b >= 0 else -1, n) for a, b, n in swaps(features) if n and at[a] >= 0]
     a, b, n = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 3
     w, bias = np.zeros(len(known) + 1), 0.0  # the last stays 0: unseen names
     value = scale[col]

@@ -151,6 +151,22 @@ def test_toxicity_learns_and_ignores_group_names(spark, none):
     assert toxicity.score(none.select("doc_id", "text"), model).count() == 0
 
 
+def test_whole_scores_hold_under_swapped_names():
+    from kickline.llm import toxicity
+    # the label follows the name in these rows; next to it stand words that tell the labels apart as well
+    for line in ("muslims christians jews hindus buddhists", "immigrants foreigners refugees citizens", "women men"):
+        names = line.split()
+        rows = [(f"{text(500 + i, 30)} {'horrid nasty vile'.split()[i % 3] if i % 4 == 0 else 'plain'} {names[0] if i % 4 == 0 else names[1 + i % (len(names) - 1)]} people", i % 4 == 0) for i in range(400)]
+        weights, bias = toxicity.fit([toxicity.buckets(t.encode()) for t, _ in rows], np.array([y for _, y in rows], float))
+        for form in ("the {} came home today", "the {}' house", "the {}'s house", "the {}\u2019s house", "(The {}), not others"):
+            z = [weights[toxicity.buckets(form.format(n if form[0] == "t" else n.title()).encode())].sum() + bias for n in names]
+            assert max(z) - min(z) < 0.5, (line, form, z)
+    # a text that holds both names loses the one that is swapped
+    pairs = {(a, b): n for a, b, n in toxicity.swaps([toxicity.buckets(t) for t in (b"women men", b"women", b"women's men's", b"old")]) if n}
+    w, m = toxicity.bucket_of(b"women"), toxicity.bucket_of(b"men")
+    assert pairs[w, m] == 1 and pairs[w, -1] == 2 and pairs[m, -1] == 2 and (m, w) not in pairs
+
+
 def test_toxicity_on_held_out_rows(spark):
     from kickline.llm.registry import QUERIES
     sf = "/root/testdata/sf0.01"
