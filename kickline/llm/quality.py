@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency, in built-in functions only.
 
 Every text is judged by word and line counts of its own. Beyond that its lines are normalised and
-hashed, and every line's distinct texts are counted within its host (the `source`); equal texts count once, so
-copies do not make their own lines common. Lines above the limit are boilerplate; a
+hashed, and every line's distinct sets of lines are counted within its host (the `source`); texts of equal
+normalised lines count once, so copies, also ones with other digits or capitals, do not make their own lines common. Lines above the limit are boilerplate; a
 document of which almost nothing else remains is depleted and rejected.
 """
 
@@ -17,7 +17,7 @@ from kickline.session import stage
 #: Space and \x09-\x0D as the characters themselves and as a pattern.
 BLANKS = " \t\n\x0b\f\r"
 BLANK = r"[\x20\x09-\x0D]"
-#: Distinct texts of a host from which on a line is boilerplate.
+#: Texts of a host with distinct sets of normalised lines from which on a line is boilerplate.
 LINE_TEXTS = 50
 #: Share of a document's words that must be outside boilerplate.
 REMAINING = 0.05
@@ -72,14 +72,19 @@ def _host_and_text(host: str, text: str) -> list[Column]:
     return [F.xxhash64(F.col(host).isNull(), F.col(host)).alias("_host"), F.xxhash64(body).alias("_t1"), F.xxhash64(F.lit("second"), body).alias("_t2")]
 
 
+def _line_hash(line: Column) -> Column:
+    """Of a line in lower case, every number as 0, with single spaces."""
+    return F.xxhash64(F.regexp_replace(F.regexp_replace(F.lower(trimmed(line)), "[0-9]+", "0"), BLANK + "+", " "))
+
+
 def depleted_texts(docs: DataFrame, host: str, text: str, line_texts: int, remaining: float) -> DataFrame:
     """(_host, _t1, _t2) of the texts of which less than `remaining` of the words is outside boilerplate."""
-    lines = docs.select(*_host_and_text(host, text), F.explode(F.split(text, "\n")).alias("line")).filter(trimmed(F.col("line")) != "")
-    normal = F.regexp_replace(F.regexp_replace(F.lower(trimmed(F.col("line"))), "[0-9]+", "0"), BLANK + "+", " ")
+    each = F.transform(F.filter(F.split(text, "\n"), lambda x: trimmed(x) != ""), lambda x: F.struct(_line_hash(x).alias("h"), F.size(F.split(trimmed(x), BLANK + "+")).alias("w")))
+    lines = docs.select(*_host_and_text(host, text), each.alias("_a"))
+    lines = lines.select("*", F.xxhash64(F.sort_array(F.array_distinct("_a.h"))).alias("_s")).select("_host", "_t1", "_t2", "_s", F.explode("_a").alias("_a"))
     # per text: equal texts add up evenly, so shares of words are those of one
-    own = stage(lines.select("_host", "_t1", "_t2", F.xxhash64(normal).alias("h"), F.size(F.split(trimmed(F.col("line")), BLANK + "+")).alias("w"))
-                .groupBy("_host", "_t1", "_t2", "h").agg(F.sum("w").alias("w")), "host-lines")
-    common = own.groupBy("_host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= line_texts).select("_host", "h")
+    own = stage(lines.select("_host", "_t1", "_t2", "_s", "_a.h", "_a.w").groupBy("_host", "_t1", "_t2", "_s", "h").agg(F.sum("w").alias("w")), "host-lines")
+    common = own.select("_host", "h", "_s").distinct().groupBy("_host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= line_texts).select("_host", "h")
     lost = own.join(common, ["_host", "h"]).groupBy("_host", "_t1", "_t2").agg(F.sum("w").alias("lost"))
     every = own.groupBy("_host", "_t1", "_t2").agg(F.sum("w").alias("w"))
     return every.join(lost, ["_host", "_t1", "_t2"]).filter(F.col("w") - F.col("lost") < remaining * F.col("w")).select("_host", "_t1", "_t2")
@@ -89,7 +94,7 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", line_texts:
     """`docs` (without `text` if it is not to be kept, which spares moving it) plus _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _base_failed and _kept.
 
     A null or empty text has no words and fails. Every row is judged and comes back, repeated rows
-    too; equal texts of a host get the same verdict and count once among its texts; a null host is a host of its own. An
+    too; equal texts of a host get the same verdict; texts with the same set of normalised lines count once; a null host is a host of its own. An
     empty table gives an empty table.
     """
     bad = stage(depleted_texts(docs, host, text, line_texts, remaining).withColumn("_bad", F.lit(True)), "depleted")

@@ -109,6 +109,14 @@ def test_depleted_documents_go_and_copies_do_not(spark):
     assert not any(got[i] for i in range(8)) and all(got[50 + i] for i in range(8))
 
 
+def test_near_copies_do_not_reject_each_other(spark):
+    from kickline.llm import quality
+    body = [text(300 + k, 15) for k in range(6)]
+    rows = [(i, "\n".join(f"{x.upper() if (i + k) % 3 == 0 else x} {i * 7 + k}" for k, x in enumerate(body)), "h") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert len({t for _, t, _ in rows}) == 60 and all(r._kept for r in quality.judge(df).collect())
+
+
 # -- 3 lines --------------------------------------------------------------------------------------------
 
 def test_line_dedup(docs, none):
