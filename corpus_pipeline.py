@@ -21,9 +21,9 @@ def _counted(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules or are depleted go."""
+    """Documents that fail the rules or are depleted go; the others lose their host's boilerplate lines."""
     ship(spark)
-    return quality.judge(docs).filter("_kept").select(*docs.columns)
+    return _counted(quality.judge(docs).filter("_kept").withColumn("text", F.col("_clean")), docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,6 +117,19 @@ def test_near_copies_do_not_reject_each_other(spark):
     assert len({t for _, t, _ in rows}) == 60 and all(r._kept for r in quality.judge(df).collect())
 
 
+def test_boilerplate_lines_are_removed(spark):
+    import corpus_pipeline
+    from kickline.llm import quality
+    boiler = "\n".join(text(400 + i, 15) for i in range(4))
+    rows = [(i, f"{boiler}\n\n{text(500 + i, 70 if i < 60 else 49)}\n", "en", "h", 0) for i in range(64)] + [(90, f"{boiler}\n{text(600, 70)}", "en", "g", 0)]
+    df = spark.createDataFrame([*rows, rows[0], rows[60]], F_SCHEMA)
+    out = corpus_pipeline.quality_rules(spark, df, "").collect()
+    want = {i: "\n" + text(500 + i, 70) + "\n" for i in range(60)} | {90: rows[64][1]}  # 60 of 109 words are boilerplate from 60 on, 49 are left
+    assert len(out) == 62 and {r.doc_id: r.text for r in out} == want and all(r.n_chars == len(r.text) for r in out)
+    got = {r.doc_id: (r._n_left, r._kept) for r in quality.judge(df, keep_text=False).collect()}
+    assert got[0] == (70, True) and got[60] == (49, False) and got[90] == (130, True)
+
+
 # -- 3 lines --------------------------------------------------------------------------------------------
 
 def test_line_dedup(docs, none):
