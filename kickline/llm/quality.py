@@ -83,7 +83,8 @@ def boilerplate(docs: DataFrame, host: str, text: str, line_texts: int) -> DataF
     """One row per text with boilerplate: (_host, _t1, _t2), the hashes of such lines, words lost with them and of all lines over all equal texts."""
     each = F.transform(F.filter(F.split(text, "\n"), lambda x: trimmed(x) != ""), lambda x: F.struct(_line_hash(x).alias("h"), F.size(F.split(trimmed(x), BLANK + "+")).alias("w")))
     lines = docs.select(*_host_and_text(host, text), each.alias("_a"))
-    lines = lines.select("*", F.xxhash64(F.sort_array(F.array_distinct("_a.h"))).alias("_s")).select("_host", "_t1", "_t2", "_s", F.explode("_a").alias("_a"))
+    # outer: explode puts filters on the array under it, which compute the array again
+    lines = lines.select("*", F.xxhash64(F.sort_array(F.array_distinct("_a.h"))).alias("_s")).select("_host", "_t1", "_t2", "_s", F.explode_outer("_a").alias("_a")).filter("_a IS NOT NULL")
     # per text: equal texts add up evenly, so shares of words are those of one
     own = stage(lines.select("_host", "_t1", "_t2", "_s", "_a.h", "_a.w").groupBy("_host", "_t1", "_t2", "_s", "h").agg(F.sum("w").alias("w")), "host-lines")
     common = own.select("_host", "h", "_s").distinct().groupBy("_host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= line_texts).select("_host", "h")
