@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kickline.llm import ann, bpe, line_dedup, near_dedup, packing, pii, quality, substring_dedup, toxicity, url_filter  # noqa: F401  registers every query
+from kickline.llm import ann, bpe, fim, line_dedup, near_dedup, packing, pii, prefix_trie, quality, substring_dedup, topk, toxicity, url_filter  # noqa: F401  registers every query
 from kickline.session import scratch_path, ship
 
 
