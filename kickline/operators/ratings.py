@@ -8,17 +8,18 @@ Leagues, parameter points and seeds run side by side.
 
 from __future__ import annotations
 
-import functools
 import json
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kickline.operators.blocks import hot_spans
-from kickline.session import stage
+from kickline.operators.blocks import rows_per_block, same_key
+from kickline.operators.systems import with_system
+from kickline.session import scratch_path, stage
 
 # fixed values
 ELO_K, ELO_HOME, ELO_START, SEASON_PULL = 20.0, 65.0, 1500.0, 0.25
@@ -160,6 +161,24 @@ class PoissonState:
         self.attack, self.defence, self.season = saved
 
 
+def chunk_borders(rows: DataFrame, keys: list[str], time: str) -> tuple[DataFrame, int] | None:
+    """`keys, _borders` of every key with more rows than one task should walk, and the number of chunks; None without such a key.
+
+    The borders are quantiles of the key's own instants, so chunks hold equal numbers of rows however the
+    instants lie. There are at most rows / rowsPerBlock such keys, with as many borders as the largest needs.
+    """
+    limit = rows_per_block(rows.sparkSession)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    most = sizes.agg(F.max("_n")).first()[0]
+    if most is None:
+        return None
+    chunks = -(-most // limit)
+    shares = [i / chunks for i in range(1, chunks)]
+    hot = rows.alias("d").join(F.broadcast(sizes.alias("s")), same_key("d", "s", keys), "left_semi")
+    cut = F.array_distinct(F.percentile_approx(time, F.lit(shares), 20 * chunks + 10_000))
+    return stage(hot.groupBy(*keys).agg(cut.alias("_borders")), "borders"), chunks
+
+
 def fold(matches: DataFrame, league: list[str], state: Callable, params: list[str] | None = None,
          extra: list[str] | None = None, emit: list[str] | None = None) -> DataFrame:
     """Runs `state` over each league (and parameter point) in match order, one output row per match.
@@ -167,32 +186,37 @@ def fold(matches: DataFrame, league: list[str], state: Callable, params: list[st
     Matches are hash-partitioned by league and parameter point and sorted inside
     the partition; the function walks the sorted batches and starts afresh when
     the key changes. `emit` names the match columns wanted back. The order of matches is the one thing that cannot be split,
-    so a league with more rows than one task should hold is folded in time chunks:
-    each chunk is written before the next starts from the ratings it left, and a
-    lost executor costs one chunk.
+    so a league with more rows than one task should hold is folded in chunks of equal row counts: the input
+    is written once, partitioned by chunk; each pass reads its chunk only, is written before the next starts
+    from the ratings it left, and a lost executor costs one chunk.
     """
     params, extra, emit = params or [], extra or [], emit or MATCH
     keys = [*league, *params]
+    spark, none = matches.sparkSession, F.lit(None).cast("string")
     rows = matches.select(*keys, *MATCH, *extra)
-    spans = hot_spans(rows, keys, "kick")
-    if spans is None:
-        return _fold_pass(rows.withColumn("saved", F.lit(None).cast("string")), keys, len(league), state, False, emit)
-
-    lo, hi = rows.agg(F.min("kick"), F.max("kick")).first()
-    width = spans.agg(F.min("_width")).first()[0]
-    carried, parts = None, []
-    for start in range(lo, hi + 1, width):
-        part = rows.filter((F.col("kick") >= start) & (F.col("kick") < start + width)).withColumn(
-            "saved", F.lit(None).cast("string"))
+    cut = chunk_borders(rows, keys, "kick")
+    if cut is None:
+        return _fold_pass(rows.withColumn("saved", none), keys, len(league), state, False, emit)
+
+    borders, chunks = cut
+    known = F.broadcast(borders.alias("b"))   # bounded by rows / rowsPerBlock
+    chunk = F.coalesce(F.size(F.filter("b._borders", lambda x: x < F.col("d.kick"))), F.lit(0))
+    chunk = F.when(F.col("b._borders").isNull(), F.lit(0)).otherwise(chunk)
+    staged = stage(rows.alias("d").join(known, same_key("d", "b", keys), "left").select("d.*", chunk.alias("_chunk")), "fold-input", ["_chunk"])
+    root, carried, paths = scratch_path(spark, "fold"), None, []
+    for i in range(chunks):
+        part = staged.filter(F.col("_chunk") == i).drop("_chunk").withColumn("saved", none)
         if carried is not None:
             # integers stay integers in the batches: the carried row sorts first without nulls
             part = part.unionByName(carried.withColumns(
                 {"kick": F.lit(-(1 << 62)), "fixture_id": F.lit(-1), "season": F.lit(0), "gf": F.lit(0), "gc": F.lit(0)}),
                 allowMissingColumns=True)
-        out = stage(_fold_pass(part, keys, len(league), state, True, emit), "fold")
-        carried = out.filter(F.col("saved").isNotNull()).select(*keys, "saved")
-        parts.append(out.filter(F.col("saved").isNull()).drop("saved"))
-    return functools.reduce(DataFrame.unionByName, parts)
+        out = _fold_pass(part, keys, len(league), state, True, emit)
+        paths.append(f"{root}/{i}")
+        out.write.parquet(paths[-1])
+        left = spark.read.schema(out.schema).parquet(paths[-1]).filter(F.col("saved").isNotNull()).select(*keys, "saved")
+        carried = left.alias("d").join(known, same_key("d", "b", keys), "left_semi")
+    return spark.read.schema(out.schema).parquet(*paths).filter(F.col("saved").isNull()).drop("saved")
 
 
 def _fold_pass(rows: DataFrame, keys: list[str], n_league: int, state: Callable, with_state: bool,
@@ -261,9 +285,10 @@ def elo(matches: DataFrame, league: list[str]) -> DataFrame:
     return fold(matches, league, EloState)
 
 
-def elo_seeded(matches: DataFrame, league: list[str], division: str = "division") -> DataFrame:
-    """Elo over deep history: between seasons ratings are pulled to the mean of the division's
+def elo_seeded(matches: DataFrame, division: str = "division") -> DataFrame:
+    """Elo over deep history, one walk per rating system (`system`): between seasons ratings are pulled to the mean of the division's
     teams of the new season. The line-up of every division rides on the season's first match."""
+    matches, league = with_system(matches), ["system"]
     sides = matches.select(*league, "season", division, F.explode(F.array("home", "away")).alias("_t")).distinct()
     groups = (sides.groupBy(*league, "season", division).agg(F.sort_array(F.collect_set("_t")).alias("_m"))   # teams of a division
               .groupBy(*league, "season").agg(F.sort_array(F.collect_list("_m")).alias("members")))
@@ -291,27 +316,104 @@ def attack_defence(matches: DataFrame, league: list[str], train: list[int] | Non
     return fold(tagged, league, PoissonState, ["k", "edge", "mu"])
 
 
-def _grid(df: DataFrame, a: str, xs: tuple, b: str, ys: tuple) -> DataFrame:
-    points = F.explode(F.array(*[F.struct(F.lit(x).alias(a), F.lit(y).alias(b)) for x in xs for y in ys])).alias("_p")
-    return df.select("*", points).select("*", "_p.*").drop("_p")
+class PiGrid:
+    """Pi ratings of all grid points at once: a rating is an array over the points."""
 
+    def __init__(self, points, mu):
+        self.rate, self.transfer = points
+        self.at_home: dict[str, np.ndarray] = {}
+        self.on_road: dict[str, np.ndarray] = {}
+        self.zero = np.zeros(len(self.rate))
+        self.loss = np.zeros(len(self.rate))
 
-def pi_grid(matches: DataFrame, league: list[str], train: list[int]) -> DataFrame:
+    @staticmethod
+    def goals(r: np.ndarray) -> np.ndarray:
+        return np.sign(r) * (10.0 ** (np.abs(r) / PI_BASE) - 1.0)
+
+    def step(self, season, home, away, gf, gc, counted: bool) -> None:
+        hh, ha = self.at_home.get(home, self.zero), self.on_road.get(home, self.zero)
+        ah, aa = self.at_home.get(away, self.zero), self.on_road.get(away, self.zero)
+        gap = (gf - gc) - self.goals(hh) + self.goals(aa)
+        off = np.abs(gap)
+        move = np.sign(gap) * np.log10(1.0 + off) * (self.rate * PI_DAMP)
+        crossed = move * self.transfer
+        self.at_home[home], self.on_road[home] = hh + move, ha + crossed
+        self.at_home[away], self.on_road[away] = ah - crossed, aa - move
+        if counted:
+            self.loss += off
+
+
+class PoissonGrid:
+    """Attack and defence of all grid points at once; the loss is the deviance of both sides' goals."""
+
+    def __init__(self, points, mu):
+        self.k, self.edge, self.mu = *points, mu
+        self.attack: dict[str, np.ndarray] = {}
+        self.defence: dict[str, np.ndarray] = {}
+        self.season = None
+        self.zero = np.zeros(len(self.k))
+        self.loss = np.zeros(len(self.k))
+
+    def step(self, season, home, away, gf, gc, counted: bool) -> None:
+        if season != self.season:
+            for side in (self.attack, self.defence):
+                for t in side:
+                    side[t] = side[t] * (1.0 - SEASON_PULL)
+            self.season = season
+        ha, hd = self.attack.get(home, self.zero), self.defence.get(home, self.zero)
+        aa, ad = self.attack.get(away, self.zero), self.defence.get(away, self.zero)
+        lh, la = np.exp(self.mu + ha - ad + self.edge), np.exp(self.mu + aa - hd)
+        eh, ea = self.k * (gf - lh), self.k * (gc - la)
+        self.attack[home], self.defence[away] = np.clip(ha + eh, -POISSON_CAP, POISSON_CAP), np.clip(ad - eh, -POISSON_CAP, POISSON_CAP)
+        self.attack[away], self.defence[home] = np.clip(aa + ea, -POISSON_CAP, POISSON_CAP), np.clip(hd - ea, -POISSON_CAP, POISSON_CAP)
+        if counted:
+            for y, lam in ((gf, lh), (gc, la)):
+                self.loss += (y * np.log(y / lam) if y > 0 else 0.0) - (y - lam)   # half the deviance of a side
+
+
+def grid_losses(matches: DataFrame, league: list[str], state: Callable, names: list[str], points: list[tuple], train: list[int]) -> DataFrame:
+    """`names, loss, n`: the mean loss of every grid point over the matches of the training seasons.
+
+    Every league is walked once for all points, in batches; only the losses and the number of counted
+    matches leave the task. `matches` may carry a column mu, constant within a league.
+    """
+    extra = ["mu"] if "mu" in matches.columns else []
+    rows = matches.select(*league, *MATCH, *extra, F.col("season").isin(train).alias("counted"))
+    ordered = rows.repartition(*league).sortWithinPartitions(*league, "kick", "fixture_id")
+    grid = [np.array(x, float) for x in zip(*points, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, st, n, done = None, None, 0, []
+        for batch in batches:
+            col = {f: batch.column(f).to_pylist() for f in (*league, "season", "home", "away", "gf", "gc", "counted", *extra)}
+            mus = col["mu"] if extra else [None] * batch.num_rows
+            for key, mu, *match in zip(zip(*[col[k] for k in league], strict=True), mus, *[col[c] for c in ("season", "home", "away", "gf", "gc", "counted")], strict=True):
+                if key != current:
+                    if st is not None:
+                        done.append((st.loss, n))
+                    current, st, n = key, state(grid, mu), 0
+                st.step(*match)
+                n += match[-1]
+        if st is not None:
+            done.append((st.loss, n))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x, _ in done], pa.list_(pa.float64())), pa.array([x for _, x in done], pa.int64())], names=["losses", "n"])
+
+    walked = ordered.mapInArrow(run, "losses array<double>, n long")
+    named = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, p, strict=True)]) for p in points])
+    each = walked.select("n", F.explode(F.arrays_zip(named.alias("point"), F.col("losses").alias("sum"))).alias("x"))
+    return each.groupBy(*[F.col(f"x.point.{k}").alias(k) for k in names]).agg((F.sum("x.sum") / F.sum("n")).alias("loss"), F.sum("n").alias("n"))
+
+
+def pi_grid(matches: DataFrame, league: list[str], train: list[int], rates: tuple = PI_LAMBDA_GRID, transfers: tuple = PI_GAMMA_GRID) -> DataFrame:
     """Mean absolute goal error per grid point over the training seasons."""
-    run = fold(_grid(matches, "rate", PI_LAMBDA_GRID, "transfer", PI_GAMMA_GRID), league, PiState, ["rate", "transfer"], emit=["season"])
-    return (run.filter(F.col("season").isin(train)).groupBy("rate", "transfer")
-            .agg(F.avg("error").alias("loss"), F.count(F.lit(1)).alias("n")))
+    return grid_losses(matches, league, PiGrid, ["rate", "transfer"], [(x, y) for x in rates for y in transfers], train)
 
 
-def attack_defence_grid(matches: DataFrame, league: list[str], train: list[int]) -> DataFrame:
-    """Poisson deviance per grid point over the training seasons."""
-    from kickline.functions.goals import deviance_term
-    mu = mean_log_goals(matches, league, train)
-    tagged = _grid(matches.join(mu, league), "k", POISSON_K_GRID, "edge", POISSON_HOME_GRID)
-    run = fold(tagged, league, PoissonState, ["k", "edge", "mu"], emit=["season", "gf", "gc"])
-    dev = (F.avg(deviance_term(F.col("gf"), F.col("lam_home"))) + F.avg(deviance_term(F.col("gc"), F.col("lam_away")))) / 2
-    return (run.filter(F.col("season").isin(train)).groupBy("k", "edge")
-            .agg(dev.alias("loss"), F.count(F.lit(1)).alias("n")))
+def attack_defence_grid(matches: DataFrame, league: list[str], train: list[int], ks: tuple = POISSON_K_GRID, edges: tuple = POISSON_HOME_GRID) -> DataFrame:
+    """Poisson deviance per grid point over the training seasons, the mean of both sides."""
+    tagged = matches.join(mean_log_goals(matches, league, train), league)
+    return grid_losses(tagged, league, PoissonGrid, ["k", "edge"], [(x, y) for x in ks for y in edges], train)
 
 
 def per_team(folded: DataFrame, league: list[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:

@@ -25,6 +25,7 @@ from kickline.operators.joins import opponent_value, sized_broadcast
 from kickline.operators.players import team_stats_by_fixture
 from kickline.operators.reshape import outcome, two_sides, widen
 from kickline.operators.squad import squad_windows
+from kickline.operators.systems import with_system
 from kickline.operators.windows import DAY_US, lookback, rolling_mean, running, trailing_day_counts
 from kickline.plans import contract as ct
 from kickline.plans import form
@@ -86,7 +87,7 @@ def team_history(long: DataFrame, players: DataFrame, detailed: DataFrame, rated
 
 
 def rated_sides(matches: DataFrame) -> DataFrame:
-    folded = rt.elo(rt.as_matches(matches).withColumn("system", F.lit("all")), ["system"])
+    folded = rt.elo(rt.as_matches(with_system(matches)), ["system"])
     return (rt.per_team(folded, ["system"], {"elo": ("elo_home", "elo_away"), "surprise": ("surprise", "surprise")})
             .select(*KEY, "team", "elo", "surprise"))
 
