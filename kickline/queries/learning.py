@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from kickline.functions import goals
+from kickline.functions.market import temper
 from kickline.operators import decision as dec
+from kickline.operators import likelihood as lk
+from kickline.operators import scoring as sc
 from kickline.operators.joins import sized_broadcast
 from kickline.operators.topk import best_point
 from kickline.plans import contract as ct
@@ -81,6 +84,33 @@ def l07(spark, sf):
     return out.select("step", F.round("rho", 6).alias("rho"), F.round("log_lik", 4).alias("log_lik"))
 
 
+def _newton(start: str, step: str, names: str = "x", steps: int = 12) -> str:
+    """A chain of Newton steps as common table expressions n0 ... n<steps>; `step` reads {prev}."""
+    chain = [f"n0 AS MATERIALIZED (SELECT {start} AS x)"] + [f"n{i} AS MATERIALIZED ({step.format(prev=f'n{i - 1}')})" for i in range(1, steps + 1)]
+    return ", ".join(chain)
+
+
+_RHO_SQL = f"""WITH r AS (SELECT season, result, {_LAM} AS lam, {_MU} AS mu, home_goals AS x, away_goals AS y FROM fx_match),
+    e AS (SELECT greatest(-1 / max(lam), -1 / max(mu), -0.4) AS lo, least(1 / max(lam * mu), 1.0, 0.4) AS hi FROM r WHERE season < 2000),
+    c AS MATERIALIZED (SELECT CASE WHEN x + y = 0 THEN -lam * mu WHEN x = 0 THEN lam WHEN y = 0 THEN mu ELSE -1 END AS c FROM r WHERE x <= 1 AND y <= 1 AND season < 2000),
+    {_newton("0.0::DOUBLE", "SELECT least(max(hi), greatest(max(lo), max(x) + sum(c / (1 + c * x)) / sum(pow(c / (1 + c * x), 2)))) AS x FROM c, {prev}, e")},
+    k AS (SELECT CAST(unnest(range(0, 11)) AS INT) AS k), g AS (SELECT r.season, r.result, lam, mu, n12.x AS rho, a.k AS x, b.k AS y, exp(-lam) * pow(lam, a.k) / factorial(a.k) * exp(-mu) * pow(mu, b.k) / factorial(b.k) AS p, row_number() OVER () AS i FROM r, n12, k a, k b WHERE season = 2000),
+    t AS (SELECT g.*, greatest(p * CASE WHEN x = 0 AND y = 0 THEN 1 - lam * mu * rho WHEN x = 0 AND y = 1 THEN 1 + lam * rho WHEN x = 1 AND y = 0 THEN 1 + mu * rho WHEN x = 1 AND y = 1 THEN 1 - rho ELSE 1 END, 0) AS q FROM g)"""
+
+
+@query("l07_rho_fitted", f"""{_RHO_SQL.replace("r.season, r.result,", "r.season, r.fixture_id, r.result,").replace("SELECT season, result, exp", "SELECT season, fixture_id, result, exp").replace(", row_number() OVER () AS i", "")},
+    m AS (SELECT fixture_id, any_value(rho) AS rho, sum(p) FILTER (WHERE x = y) / sum(p) AS was, sum(q) FILTER (WHERE x = y) / sum(q) AS now, any_value(result) AS result FROM t GROUP BY fixture_id)
+    SELECT round(any_value(rho), 4) AS rho, count(*) AS n, round(avg(was), 5) AS p_draw_before, round(avg(now), 5) AS p_draw_after, round(avg(CASE WHEN result = 'draw' THEN 1.0 ELSE 0 END), 6) AS drawn FROM m""")
+def l07b(spark, sf):
+    """rho by maximum likelihood on the training seasons, used on the holdout."""
+    lam, mu = rate_cols()
+    m = silver.match(spark, sf).select("season", "result", "home_goals", "away_goals", lam.alias("lam"), mu.alias("mu"))
+    rho = lk.fit_rho(m.filter(F.col("season").isin(TRAIN)), "lam", "mu", "home_goals", "away_goals")
+    held = goals.with_outcome_probs(goals.with_outcome_probs(m.filter(F.col("season") == HOLDOUT), "lam", "mu", 0.0, "was"), "lam", "mu", rho)
+    return held.agg(F.round(F.lit(rho), 4).alias("rho"), F.count(F.lit(1)).alias("n"), F.round(F.avg("was_draw"), 5).alias("p_draw_before"),
+                    F.round(F.avg("p_draw"), 5).alias("p_draw_after"), F.round(F.avg((F.col("result") == "draw").cast("double")), 6).alias("drawn"))
+
+
 @query("l08_exact_score_classifier")
 def l08(spark, sf):
     return graded(ln.exact_score(*train_test(spark, sf), FEATS))
@@ -163,6 +193,24 @@ def l18(spark, sf):
     return rounded(ln.temperature_grid(f, [0.8, 0.9, 1.0, 1.1, 1.25, 1.5, 2.0, 3.0]), "log_loss")
 
 
+_SAID = "CASE result WHEN 'away' THEN {0}away WHEN 'draw' THEN {0}draw ELSE {0}home END"
+_WARM = "(CASE result WHEN 'away' THEN pow(p_away, 1 / t) WHEN 'draw' THEN pow(p_draw, 1 / t) ELSE pow(p_home, 1 / t) END) / (pow(p_away, 1 / t) + pow(p_draw, 1 / t) + pow(p_home, 1 / t))"
+
+
+@query("l18_temperature_fitted", f"""WITH l AS MATERIALIZED (SELECT ln(p_away) AS a, ln(p_draw) AS d, ln(p_home) AS h, ln({_SAID.format("p_")}) AS y FROM fx_pred WHERE season = 1999),
+    {_newton("1.0::DOUBLE", "SELECT least(1 / 0.3, greatest(1 / 5.0, max(b) + avg(y - m1) / avg(m2 - m1 * m1))) AS x FROM (SELECT y, x AS b, (a * exp(a * x) + d * exp(d * x) + h * exp(h * x)) / (exp(a * x) + exp(d * x) + exp(h * x)) AS m1, (a * a * exp(a * x) + d * d * exp(d * x) + h * h * exp(h * x)) / (exp(a * x) + exp(d * x) + exp(h * x)) AS m2 FROM l, {prev})")}
+    SELECT round(max(t), 4) AS temperature, count(*) AS n, round(avg(-ln({_SAID.format("p_")})), 6) AS log_loss_before, round(avg(-ln({_WARM})), 6) AS log_loss_after FROM (SELECT f.*, 1 / x AS t FROM fx_pred f, n12 WHERE season = 2000)""")
+def l18c(spark, sf):
+    """The temperature of the validation season, used on the holdout."""
+    f = silver.forecast(spark, sf)
+    t = lk.fit_temperature(f.filter(F.col("season") == VALID), lk.class_columns(), "result")
+    p, raw = temper({c: F.col(f"p_{c}") for c in sc.CLASSES}, t), sc.probs("p")
+    warm = sc.prob_of(F.col("result"), *[p[c] for c in sc.CLASSES])
+    return f.filter(F.col("season") == HOLDOUT).agg(F.round(F.lit(t), 4).alias("temperature"), F.count(F.lit(1)).alias("n"),
+                                                    F.round(F.avg(sc.log_loss_term(sc.prob_of(F.col("result"), *raw))), 6).alias("log_loss_before"),
+                                                    F.round(F.avg(sc.log_loss_term(warm)), 6).alias("log_loss_after"))
+
+
 @query("l18_class_weights")
 def l18b(spark, sf):
     train, test = train_test(spark, sf)

@@ -144,7 +144,7 @@ def m09(spark, sf):
 @query("m10_auc_bootstrap")
 def m10(spark, sf):
     f = silver.forecast(spark, sf)
-    return rounded(cmp.auc_interval(f, ["season", "fixture_id"], "p_draw", F.col("result") == "draw"), "auc", "ci_low", "ci_high")
+    return rounded(cmp.auc_interval(f, "p_draw", F.col("result") == "draw"), "auc", "ci_low", "ci_high")
 
 
 @query("m11_brier_per_class", "SELECT season, " + ", ".join(f"round(avg(pow(p_{c} - CASE WHEN result = '{c}' THEN 1 ELSE 0 END, 2)), 6) AS brier_{c}" for c in CL) + " FROM fx_pred GROUP BY season")
