@@ -30,14 +30,16 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 
 class WordValues(dict):
-    """Word (bytes) -> 64-bit value, remembered for the frequent words; at most `most` at a time."""
+    """Word (bytes) -> 64-bit value, remembered for the frequent words; holds about `most_bytes` at a time."""
 
-    def __init__(self, most: int = 400_000):
-        self.most = most
+    def __init__(self, most_bytes: int = 32_000_000):
+        self.most_bytes, self.held = most_bytes, 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
+        self.held += len(word) + 150  # the entry, the number and the heads of both objects
+        if self.held > self.most_bytes:
             self.clear()
+            self.held = len(word) + 150
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
@@ -117,23 +119,50 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 class Bitmap:
-    """A set of 64-bit hashes as bits, two for each hash: no false negatives, size fixed by `bits`.
+    """A set of 64-bit hashes as bits, two for each hash: no false negatives.
 
     Used to skip rows ahead of an exact step only. A table too large for the bits makes it skip
     less; results do not change.
     """
 
+    #: Bytes of the pieces in which tasks hand their bits on.
+    PIECE = 1 << 16
+
     def __init__(self, words: np.ndarray, bits: int):
         self.words, self.bits = words, bits
 
+    @staticmethod
+    def bits_for(rows: int, least: int = 1 << 20, most: int = 1 << 28) -> int:
+        """Sixteen bits a row as a power of two; from 32 MB on the set gets fuller instead of larger."""
+        return min(most, max(least, 1 << (16 * max(rows, 1) - 1).bit_length()))
+
     @classmethod
     def of(cls, df: DataFrame, column: str, bits: int = 1 << 26) -> Bitmap:
-        both = df.select(F.explode(F.array(F.col(column), F.shiftrightunsigned(column, 32))).alias("h"))
-        found = (both.select(F.shiftright(F.pmod("h", F.lit(bits)), 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(h, 64) as int))").alias("b"))
-                 .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())  # at most bits / 64 rows
-        words = np.zeros(bits // 64, np.uint64)
-        words[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
-        return cls(words, bits)
+        """Every task sets its own bits; only pieces of bit arrays leave it, never a row per hash."""
+        piece = min(cls.PIECE, bits // 8)
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = np.zeros(bits // 8, np.uint8)
+            for batch in batches:
+                h = batch.column(0).to_numpy().view(np.uint64)
+                for at in (h, h >> np.uint64(32)):
+                    at = at & np.uint64(bits - 1)
+                    np.bitwise_or.at(own, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+            for i, body in enumerate(own.reshape(-1, piece)):
+                if body.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), binary([body.tobytes()])], names=["piece", "body"])
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for same in groups(batches, 1):
+                body = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in same["body"].to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array([same["piece"][0].as_py()], pa.int64()), binary([body.tobytes()])], names=["piece", "body"])
+        schema = "piece long, body binary"
+        parts = df.select(column).mapInArrow(mark, schema)
+        found = parts.repartition("piece").sortWithinPartitions("piece").mapInArrow(join, schema).toArrow()  # at most `bits` bits
+        words = np.zeros(bits // 8, np.uint8)
+        for i, body in zip(found["piece"].to_pylist(), found["body"].to_pylist(), strict=True):
+            words[i * piece:(i + 1) * piece] = np.frombuffer(body, np.uint8)
+        return cls(words.view(np.uint64), bits)
 
     def _bit(self, at: np.ndarray) -> np.ndarray:
         at = at & np.uint64(self.bits - 1)

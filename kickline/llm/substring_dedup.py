@@ -24,8 +24,8 @@ WINDOW = 50
 #: A difference cover of the period: every residue is a difference of two members (fixed values).
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
-#: Bits of the sets of repeated anchors and windows (16 MB each); a fuller set lets more rows through to the exact steps.
-BITS = 1 << 27
+#: Bytes of text handled together and windows handed on together by a task.
+TEXT, FLUSH = 2_000_000, 100_000
 
 _words = WordValues()
 _anchor, _first, _second = Rolling(0x9E3779B97F4A7C15), Rolling(0xD6E8FEB86659FD93), Rolling(0xA0761D6478BD642F)
@@ -46,7 +46,7 @@ def anchor_rows(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
     anchor = window - PERIOD + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batched(batches):
+        for batch in batched(batches, TEXT):
             hashes, at = [], []
             for i, body in enumerate(texts_of(batch.column(1))):
                 words = body.split()
@@ -59,8 +59,23 @@ def anchor_rows(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"h long, `{key}` {dict(docs.dtypes)[key]}")
 
 
-def _pairs(values: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    return _first.windows(values, window), _second.windows(mixed(values), window)
+def repeated_windows(words: list[bytes], window: int, anchor: int, seen: Bitmap) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of the distinct windows that hold a repeated anchor in their first PERIOD words."""
+    n = len(words) - window + 1
+    none = np.zeros(0, np.uint64)
+    if n <= 0:
+        return none, none
+    values = _words.of(words)
+    where, hashes = _anchors(values, anchor)
+    where = where[seen.has(hashes)]
+    if not len(where):
+        return none, none
+    edge = np.zeros(n + PERIOD + 1, np.int64)  # an anchor at p is in the windows from p - PERIOD + 1 to p
+    np.add.at(edge, np.maximum(where - PERIOD + 1, 0), 1)
+    np.add.at(edge, np.minimum(where + 1, n), -1)
+    mine = np.cumsum(edge[:n]) > 0
+    a, once = np.unique(_first.windows(values, window)[mine], return_index=True)
+    return a, _second.windows(mixed(values), window)[mine][once]
 
 
 def window_rows(docs: DataFrame, key: str, text: str, window: int, seen: Bitmap) -> DataFrame:
@@ -68,32 +83,19 @@ def window_rows(docs: DataFrame, key: str, text: str, window: int, seen: Bitmap)
     anchor = window - PERIOD + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batched(batches):
-            h1, h2, at = [], [], []
+        for batch in batched(batches, TEXT):
+            held, count = [], 0
             for i, body in enumerate(texts_of(batch.column(1))):
-                words = body.split()
-                n = len(words) - window + 1
-                if n <= 0:
-                    continue
-                values = _words.of(words)
-                where, hashes = _anchors(values, anchor)
-                where = where[seen.has(hashes)]
-                if not len(where):
-                    continue
-                edge = np.zeros(n + PERIOD + 1, np.int64)  # an anchor at p is in the windows from p - PERIOD + 1 to p
-                np.add.at(edge, np.maximum(where - PERIOD + 1, 0), 1)
-                np.add.at(edge, np.minimum(where + 1, n), -1)
-                mine = np.cumsum(edge[:n]) > 0
-                a, b = _pairs(values, window)
-                a, b = a[mine], b[mine]
-                _, once = np.unique(a, return_index=True)
-                h1.append(a[once])
-                h2.append(b[once])
-                at.append(np.full(len(once), i))
-            if at:
-                rows = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(h1))), pa.array(signed(np.concatenate(h2))), batch.column(0).take(rows)],
-                                                 names=["h1", "h2", key])
+                a, b = repeated_windows(body.split(), window, anchor, seen)
+                if len(a):
+                    held.append((a, b, np.full(len(a), i)))
+                    count += len(a)
+                if held and (count >= FLUSH or i == batch.num_rows - 1):
+                    h1, h2, at = (np.concatenate(x) for x in zip(*held, strict=True))
+                    for s in range(0, count, FLUSH):
+                        part = slice(s, s + FLUSH)
+                        yield pa.RecordBatch.from_arrays([pa.array(signed(h1[part])), pa.array(signed(h2[part])), batch.column(0).take(pa.array(at[part]))], names=["h1", "h2", key])
+                    held, count = [], 0
     return docs.select(key, text).mapInArrow(run, f"h1 long, h2 long, `{key}` {dict(docs.dtypes)[key]}")
 
 
@@ -108,12 +110,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         raise ValueError(f"a window needs more than {PERIOD} words")
     keyed = docs.select(key, text, F.xxhash64(key).alias("_k"))
     known = keyed.filter(F.col(key).isNotNull())
-    shared = (anchor_rows(known, key, text, window).groupBy("h").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-              .filter("lo < hi").select("h"))
-    seen = Bitmap.of(shared, "h", BITS)
+    shared = stage(anchor_rows(known, key, text, window).groupBy("h").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+                   .filter("lo < hi").select("h"), "shared")
+    seen = Bitmap.of(shared, "h", Bitmap.bits_for(shared.count()))
     windows = stage(window_rows(known, key, text, window, seen), "windows")
     sources = stage(windows.groupBy("h1", "h2").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo < hi").drop("hi"), "sources")
-    repeated = Bitmap.of(sources, "h1", BITS)
+    repeated = Bitmap.of(sources, "h1", Bitmap.bits_for(sources.count()))
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +124,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     # rows of one key have one list: what is bad for a key is bad in all its texts
     verdict = stage(windows.mapInArrow(often, windows.schema).join(sources, ["h1", "h2"]).filter(F.col(key) > F.col("lo"))
                     .groupBy(key).agg(F.collect_set("h1").alias("bad")), "verdict")  # a document's own windows
-    marked = Bitmap.of(verdict.select(F.xxhash64(key).alias("_k")), "_k")
+    marked = Bitmap.of(verdict.select(F.xxhash64(key).alias("_k")), "_k", Bitmap.bits_for(verdict.count()))
 
     def answer(batch, lists):
         n_words, n_removed, kept = [], [], []
@@ -149,17 +151,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     schema = f"`{key}` {dict(docs.dtypes)[key]}, _n_words long, _n_removed long, `{text}` string"
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batched(batches):
+        for batch in batched(batches, TEXT):
             part = batch.filter(pa.array(~marked.has(batch.column(2).to_numpy())))
             if part.num_rows:
                 yield answer(part, [None] * part.num_rows)
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batched(batches):
+        for batch in batched(batches, TEXT):
             yield batch.filter(pa.array(marked.has(batch.column(2).to_numpy())))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batched(batches):
+        for batch in batched(batches, TEXT):
             yield answer(batch, batch.column(2).to_pylist())
 
     touched = (keyed.mapInArrow(maybe, keyed.schema).join(verdict, key, "left").select(key, text, "bad").mapInArrow(cut, schema))
