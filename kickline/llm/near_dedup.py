@@ -2,8 +2,9 @@
 
 Every document's set of five-word shingles is dealt to registers; a register keeps its smallest hash
 as a leading-zero count and a few mantissa bits. Equal sets are one node from then on. Bands of
-registers are the candidate search (sets of few shingles also use their smallest shingles, which
-cannot miss a link). A band's members are paired with the band's smallest document only, the hub:
+registers are the candidate search: there an empty register borrows from one that a fixed sequence of
+tries finds occupied, so every band has four samples of the set, however short the text. Sets of few shingles
+search by their smallest shingles, which cannot miss a link. A band's members are paired with the band's smallest document only, the hub:
 pairs whose collision-corrected estimate reaches the threshold less five deviations are confirmed
 on the full sets. What is still apart from its hub is then held against the other members of the
 hub, block by block and again by estimate first and full sets after, so no link is lost and no
@@ -29,8 +30,13 @@ PERCENT = 75
 BANDS, ROWS = 48, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-#: Sets up to this size also search by their smallest shingles.
-SMALL = 16
+#: Sets up to this size search by their smallest shingles. Larger sets use bands, and so do the sizes that can be linked with one.
+SMALL = 28
+#: Pairs with so few registers in use are always confirmed on their sets.
+FEW = 32
+#: Tries of an empty register to borrow: with 22 shingles all fail with a chance of about 1e-7.
+TRIES = 128
+_BORROW = np.random.default_rng(20).integers(0, REGISTERS, (TRIES, REGISTERS))
 #: Deviations by which an estimate may fall short and the pair is still confirmed.
 SLACK = 5.0
 #: Members of one block of a hub.
@@ -59,6 +65,19 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return np.where(out == np.iinfo(np.uint64).max, 0, packed).astype(np.uint16)
 
 
+def filled(regs: np.ndarray) -> np.ndarray:
+    """Rows of registers whose empty ones hold the first occupied register of their tries; two sets try in the same order."""
+    out = regs.copy()
+    row, at = np.nonzero(regs == 0)
+    for tries in _BORROW:
+        if not len(row):
+            break
+        found = regs[row, tries[at]]
+        out[row, at] = found
+        row, at = row[found == 0], at[found == 0]
+    return out
+
+
 def estimates(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Jaccard estimates of rows of registers, less the expected share of chance collisions."""
     used = (a != 0) | (b != 0)
@@ -71,7 +90,7 @@ def estimates(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.
 def bounds(used: np.ndarray, percent: int) -> np.ndarray:
     """The estimate from which a pair is confirmed, by the number of registers in use."""
     t = percent / 100
-    return np.where(used <= 2 * SMALL, 0.0, t - SLACK * np.sqrt(t * (1 - t) / np.maximum(used, 1)))
+    return np.where(used <= FEW, 0.0, t - SLACK * np.sqrt(t * (1 - t) / np.maximum(used, 1)))
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -91,20 +110,20 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"`{key}` long, k1 long, k2 long, n long, regs binary")
 
 
-def band_rows(nodes: DataFrame) -> DataFrame:
-    """(band, node): one row per band that holds a shingle, and per small shingle of a small set."""
+def band_rows(nodes: DataFrame, percent: int) -> DataFrame:
+    """(band, node): one row per band of a set that can be linked with a large one, and per small shingle of a small set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batched(batches):
             bodies = batch.column(1).to_pylist()
             if not bodies:
                 continue
-            keys = np.frombuffer(b"".join(x[:2 * REGISTERS] for x in bodies), np.uint64).reshape(-1, BANDS)
-            row, band = np.nonzero(keys)
-            found = mixed(mixed(keys[row, band]) + band.astype(np.uint64))
+            wide = np.flatnonzero(100 * batch.column(2).to_numpy() > percent * SMALL)
+            keys = np.ascontiguousarray(filled(_matrix([bodies[i] for i in wide.tolist()]))).view(np.uint64)
+            found = mixed(mixed(keys) + np.arange(BANDS, dtype=np.uint64))
             extra = [np.frombuffer(x[2 * REGISTERS:], np.uint64) for x in bodies]
-            rows = np.concatenate([row, np.repeat(np.arange(len(bodies)), [len(x) for x in extra])])
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([found, *[mixed(x) for x in extra]]))), batch.column(0).take(pa.array(rows))], names=["band", "node"])
-    return nodes.select("node", "regs").mapInArrow(run, "band long, node long")
+            rows = np.concatenate([np.repeat(wide, BANDS), np.repeat(np.arange(len(bodies)), [len(x) for x in extra])])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([found.ravel(), *[mixed(x) for x in extra]]))), batch.column(0).take(pa.array(rows))], names=["band", "node"])
+    return nodes.select("node", "regs", "n").mapInArrow(run, "band long, node long")
 
 
 def _matrix(column) -> np.ndarray:
@@ -236,7 +255,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     rows = stage(sketches(docs.select(F.col(key).cast("long").alias(key), text), key, text), "sketches")
     known = rows.filter(F.col(key).isNotNull() & (F.col("n") > 0))
     nodes = stage(known.groupBy("k1", "k2").agg(F.min(F.struct(F.col(key).alias("node"), "n", "regs")).alias("x")).select("k1", "k2", "x.*"), "nodes")
-    bands = band_rows(nodes)
+    bands = band_rows(nodes, percent)
     hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("hi")).filter("hub < hi").drop("hi")
     members = stage(bands.join(hubs, "band").filter("node <> hub").select("node", "hub").distinct(), "members")
     near = stage(near_hubs(members, nodes, percent), "near")

@@ -202,3 +202,20 @@ def test_sql_twins(spark):
     for name in ("op11_tiled_top_k", "op12_prefix_trie", "op13_fill_in_middle"):
         ok, message = compare(spark, con, SMALL, name, QUERIES[name], ORACLE[name])
         assert ok, message
+
+
+# -- 10 candidate search by size class ------------------------------------------------------------------
+
+@pytest.mark.parametrize("size", [22, 24, 28, 40, 100, 400, 3000])
+def test_bands_meet_at_the_threshold_and_not_by_chance(size):
+    from kickline.llm.near_dedup import BANDS, _matrix, filled, registers
+    r = np.random.default_rng(size)
+    common = -(-6 * size // 7)  # two sets of `size` with a similarity of 0.75 or a little more
+    left, right = [], []
+    for _ in range(400):
+        own = r.integers(0, 1 << 63, 2 * size - common, dtype=np.uint64)
+        left.append(registers(own[:size]).tobytes())
+        right.append(registers(own[size - common:]).tobytes())
+    a, b = (filled(_matrix(x)).view(np.uint64).reshape(-1, BANDS) for x in (left, right))
+    assert (a == b).any(1).all()
+    assert not (a == np.roll(b, 1, 0)).any()  # unrelated sets share no band
