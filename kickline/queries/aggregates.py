@@ -173,11 +173,17 @@ def a14(spark, sf):
     return rounded(class_shares(silver.match(spark, sf), ["season"], "result", list(CLASSES)), *CLASSES)
 
 
+_PROFILED = ["gameweek", "fixture_id", "kick", "match_date", "home", "away", "division", "home_id", "away_id", "result"] + [f"{side}_{c}" for side in ("home", "away")
+             for c in ("goals", "shots", "sot", "corners", "fouls", "yellows", "reds")] + ["fdr_home", "fdr_away", "odds_home", "odds_draw", "odds_away", "w_home", "w_draw", "w_away", "wb_home", "wb_draw", "wb_away"]
+
+
 @query("a15_null_profile", " UNION ALL ".join(
     f"SELECT season, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, round(count({c}) / count(*), 6) AS coverage FROM fx_match GROUP BY season"
-    for c in ("odds_home", "odds_draw", "odds_away", "home_goals")))
+    for c in _PROFILED))
 def a15(spark, sf):
-    return rounded(null_profile(silver.match(spark, sf), ["season"], ["odds_home", "odds_draw", "odds_away", "home_goals"]), "coverage")
+    """Every column of the match table but the grouping one."""
+    m = silver.match(spark, sf)
+    return rounded(null_profile(m, ["season"], [c for c in m.columns if c != "season"]), "coverage")
 
 
 _MKT = "1 / odds_{c} / (1 / odds_home + 1 / odds_draw + 1 / odds_away)"
@@ -241,10 +247,10 @@ def a18(spark, sf):
     return rounded(drift_table(silver.match(spark, sf), ["season"], {n: F.expr(e) for n, e in _DRIFT.items()}), "mean", "variation")
 
 
-@query("a19_matches_per_team", """WITH c AS (SELECT team, count(*) AS n FROM fx_long WHERE season < 2001 GROUP BY team)
+@query("a19_matches_per_team", """WITH c AS (SELECT team, count(*) AS n FROM fx_long GROUP BY team)
     SELECT t.name AS team, coalesce(c.n, 0) AS n_matches FROM (SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region) t LEFT JOIN c ON c.team = t.name""")
 def a19(spark, sf):
-    counts = (silver.team_match(spark, sf).filter(F.col("season") < 2001).groupBy("team").agg(F.count(F.lit(1)).alias("n")))
+    counts = (silver.team_match(spark, sf).groupBy("team").agg(F.count(F.lit(1)).alias("n")))
     current = (silver.table(spark, sf, "nation").select(F.col("n_name").alias("team"))
                .union(silver.table(spark, sf, "region").select("r_name")))
     return current.join(counts, "team", "left").select("team", F.coalesce("n", F.lit(0)).alias("n_matches"))

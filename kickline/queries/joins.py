@@ -142,14 +142,14 @@ def j14(spark, sf):
     return m.select("season", "fixture_id", "home_position", "away_position")
 
 
-@query("j15_full_outer_ratings", """WITH a AS (SELECT team, count(*) AS home_games FROM fx_long WHERE is_home AND season < 1998 GROUP BY team), b AS (SELECT team, count(*) AS away_games FROM fx_long WHERE NOT is_home AND season > 1998 AND cards > 3 GROUP BY team)
-    SELECT team, home_games, away_games FROM a FULL JOIN b USING (team)""")
+@query("j15_full_outer_ratings", """WITH a AS (SELECT home_id AS id, count(*) AS home_games FROM fx_match GROUP BY home_id), b AS (SELECT away_id AS id, count(*) AS away_games, sum(away_goals)::BIGINT AS goals FROM fx_match GROUP BY away_id)
+    SELECT id, home_games, away_games, goals FROM a FULL JOIN b USING (id)""")
 def j15(spark, sf):
-    t = silver.team_match(spark, sf)
-    a = t.filter(F.col("is_home") & (F.col("season") < 1998)).groupBy("team").agg(F.count(F.lit(1)).alias("home_games"))
-    b = (t.filter(~F.col("is_home") & (F.col("season") > 1998) & (F.col("cards") > 3)).groupBy("team")
-         .agg(F.count(F.lit(1)).alias("away_games")))
-    return a.join(b, "team", "full")
+    """Numbers of the two kinds of ids, which overlap in part only."""
+    m = silver.match(spark, sf)
+    a = m.groupBy(F.col("home_id").alias("id")).agg(F.count(F.lit(1)).alias("home_games"))
+    b = m.groupBy(F.col("away_id").alias("id")).agg(F.count(F.lit(1)).alias("away_games"), F.sum("away_goals").alias("goals"))
+    return a.join(b, "id", "full")
 
 
 _LABEL = "CASE WHEN {p}_away >= {p}_draw AND {p}_away >= {p}_home THEN 'away' WHEN {p}_draw >= {p}_home THEN 'draw' ELSE 'home' END"

@@ -118,10 +118,10 @@ def u04(spark, sf):
     return pl.dedupe_keep_first(p, ["season", "gameweek", "player"], ["fixture_id", *_FIRST]).select("season", "gameweek", "player", "fixture_id", "minutes")
 
 
-@query("u05_expected_minus_present", "SELECT c_custkey AS id FROM customer EXCEPT SELECT away_id FROM fx_match WHERE season = 1995")
+@query("u05_expected_minus_present", "SELECT c_custkey AS id FROM customer EXCEPT SELECT away_id FROM fx_match WHERE result = 'away'")
 def u05(spark, sf):
     return (silver.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
-            .exceptAll(silver.match(spark, sf).filter(F.col("season") == 1995).select("away_id").distinct()).distinct())
+            .exceptAll(silver.match(spark, sf).filter(F.col("result") == "away").select("away_id").distinct()).distinct())
 
 
 @query("u06_union_of_ids", "SELECT season, home AS team FROM fx_match UNION SELECT season, away FROM fx_match")
@@ -172,11 +172,16 @@ def q03(spark, sf):
     return found.crossJoin(p.agg(F.count("bonus").alias("n_rows")))   # one row
 
 
-@query("q04_history_before_cutoff", "SELECT CAST(0 AS BIGINT) AS home, CAST(0 AS BIGINT) AS away")
+_MOVED = "CASE WHEN fixture_id % 97 = 0 THEN cutoff - 400 * 86400000000 ELSE cutoff END"
+
+
+@query("q04_history_before_cutoff", f"""WITH h AS (SELECT DISTINCT team, kick FROM fx_long), x AS (SELECT o.*, h.kick AS used FROM fx_obj o ASOF LEFT JOIN h ON o.team = h.team AND o.cutoff > h.kick)
+    SELECT count(*) FILTER (WHERE is_home AND used >= {_MOVED}) AS home, count(*) FILTER (WHERE NOT is_home AND used >= {_MOVED}) AS away FROM x""")
 def q04(spark, sf):
-    long = silver.team_match(spark, sf)
-    wide = form.recent_form(long, ["pts"])
-    return ck.used_at_or_after(wide, {"home": "home_hist_kick", "away": "away_hist_kick"}, "cutoff")
+    """Some cut-offs are moved back after the history was attached; their rows must be found."""
+    wide = form.recent_form(silver.team_match(spark, sf), ["pts"])
+    moved = F.when(F.col("fixture_id") % 97 == 0, F.col("cutoff") - 400 * 86_400_000_000).otherwise(F.col("cutoff"))
+    return ck.used_at_or_after(wide.withColumn("cutoff", moved), {"home": "home_hist_kick", "away": "away_hist_kick"}, "cutoff")
 
 
 @query("q05_stale_history", f"""WITH a AS (SELECT o.season, o.fixture_id, o.team, o.cutoff, h.kick AS hist FROM (SELECT c.*, u.cutoff FROM fx_club c JOIN fx_cut u USING (season, gameweek)) o ASOF LEFT JOIN (SELECT team, kick FROM fx_club) h ON h.team = o.team AND o.cutoff > h.kick)
@@ -220,9 +225,11 @@ def q10(spark, sf):
     return ck.require_contract(silver.match(spark, sf).select(*reversed(cols)), cols)
 
 
-@query("q11_foreign_division", """SELECT season AS file, string_agg(DISTINCT division, ',' ORDER BY division) AS found, count(DISTINCT division) = 1 AND min(division) = 'EUROPE' AS ok FROM fx_match WHERE season > 1997 OR division = 'EUROPE' GROUP BY season""")
+@query("q11_foreign_division", """SELECT season || '-' || home AS file, string_agg(DISTINCT division, ',' ORDER BY division) AS found, count(DISTINCT division) = 1 AND min(division) = 'EUROPE' AS ok FROM
+    (SELECT season, home, CASE WHEN fixture_id % 101 = 0 THEN 'ASIA' ELSE division END AS division FROM fx_match) GROUP BY season, home""")
 def q11(spark, sf):
-    m = silver.match(spark, sf).filter((F.col("season") > 1997) | (F.col("division") == "EUROPE")).withColumnRenamed("season", "file")
+    """One file per season and home side, with some rows of a foreign division slipped in."""
+    m = silver.match(spark, sf).select(F.concat_ws("-", "season", "home").alias("file"), F.when(F.col("fixture_id") % 101 == 0, "ASIA").otherwise(F.col("division")).alias("division"))
     return ck.foreign_division(m, "file", "division", "EUROPE").withColumn("found", F.array_join("found", ","))
 
 
@@ -234,7 +241,17 @@ def q12(spark, sf):
     return p.join(m, ["season", "fixture_id"]).filter((F.col("team") != F.col("home")) & (F.col("team") != F.col("away"))).drop("home", "away")
 
 
-@query("q13_feature_set_compatibility")
+def _q13_sql() -> str:
+    """The problems as SQL works them out from the contract's names: the hash of all names, and names outside of the contract."""
+    names = "list_value(" + ", ".join(f"'{f}'" for f in contract.FEATURES) + ")"
+    own = f"'{contract.MAJOR}.' || left(sha1(array_to_string({names}, '|')), 8) || '.' || len({names})"
+    absent = "'unknown features [' || nullif(array_to_string(list_transform(list_filter(list_value({cols}), lambda c: NOT list_contains({names}, c)), lambda c:  || c || ), ', '), '') || ']'"
+    fdr, w = (", ".join(f"'{c}'" for c in cols) for cols in (("fdr_home", "fdr_away"), ("w_home", "w_draw", "w_away")))
+    return f"""WITH p AS (SELECT {absent.format(cols=fdr, names=names)} AS problem UNION ALL SELECT 'version v1.00000000.3 is not ' || {own} UNION ALL SELECT {absent.format(cols=w, names=names)})
+        SELECT problem, (SELECT count(*) FROM fx_match) AS n_rows FROM p WHERE problem IS NOT NULL"""
+
+
+@query("q13_feature_set_compatibility", _q13_sql())
 def q13(spark, sf):
     """Why models with these features may not score the table; the match table supplies the names."""
     cols = silver.match(spark, sf).columns
@@ -264,9 +281,9 @@ def q15(spark, sf):
     return g.select("season", ck.freshness(F.col("built"), F.col("played"), F.col("nxt"), now).alias("diagnosis"))
 
 
-@query("q16_teams_without_history", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT away_id FROM fx_match WHERE season < 1998)")
+@query("q16_teams_without_history", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT home_id FROM fx_match)")
 def q16(spark, sf):
-    have = silver.match(spark, sf).filter(F.col("season") < 1998).select(F.col("away_id").alias("id"))
+    have = silver.match(spark, sf).select(F.col("home_id").alias("id")).distinct()
     return silver.table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(have, "id", "left_anti")
 
 
