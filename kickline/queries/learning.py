@@ -139,6 +139,26 @@ def l12(spark, sf):
     return graded(ln.boosted(*train_test(spark, sf), FEATS, rounds=rounds)).withColumn("rounds", F.lit(rounds))
 
 
+_wide: dict = {}
+
+
+def wide(spark, sf):
+    """The training rows with every feature of the contract."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _wide:
+        _wide[key] = stage(ln.frame(built_gold(spark, sf), list(ct.FEATURES)), "training-wide")
+    return _wide[key].filter(F.col("label").isNotNull())
+
+
+@query("l12_early_stopping")
+def l12b(spark, sf):
+    """All features; rounds by early stopping on the validation season, refit with it, graded on the holdout."""
+    d = wide(spark, sf)
+    inner, valid, test = d.filter(F.col("season").isin([s for s in TRAIN if s != VALID])), d.filter(F.col("season") == VALID), d.filter(F.col("season") == HOLDOUT)
+    scored, rounds, losses = ln.boosted_early(inner, valid, test, list(ct.FEATURES))
+    return graded(scored).withColumns({"rounds": F.lit(rounds), "n_features": F.lit(len(ct.FEATURES)), "validation_loss": F.round(F.lit(losses[rounds - 1]), 6)})
+
+
 @query("l13_walk_forward")
 def l13(spark, sf):
     scored = ln.walk_forward(data(spark, sf), FEATS, CURRENT, ln.forest, trees=5, depth=4)

@@ -245,7 +245,7 @@ def _q13_sql() -> str:
     """The problems as SQL works them out from the contract's names: the hash of all names, and names outside of the contract."""
     names = "list_value(" + ", ".join(f"'{f}'" for f in contract.FEATURES) + ")"
     own = f"'{contract.MAJOR}.' || left(sha1(array_to_string({names}, '|')), 8) || '.' || len({names})"
-    absent = "'unknown features [' || nullif(array_to_string(list_transform(list_filter(list_value({cols}), lambda c: NOT list_contains({names}, c)), lambda c:  || c || ), ', '), '') || ']'"
+    absent = "'unknown features [' || nullif(array_to_string(list_transform(list_filter(list_value({cols}), lambda c: NOT list_contains({names}, c)), lambda c: chr(39) || c || chr(39)), ', '), '') || ']'"
     fdr, w = (", ".join(f"'{c}'" for c in cols) for cols in (("fdr_home", "fdr_away"), ("w_home", "w_draw", "w_away")))
     return f"""WITH p AS (SELECT {absent.format(cols=fdr, names=names)} AS problem UNION ALL SELECT 'version v1.00000000.3 is not ' || {own} UNION ALL SELECT {absent.format(cols=w, names=names)})
         SELECT problem, (SELECT count(*) FROM fx_match) AS n_rows FROM p WHERE problem IS NOT NULL"""
