@@ -24,6 +24,24 @@ def row_key(*columns: str) -> list:
     return [F.xxhash64(*marked).alias("_k1"), F.xxhash64(F.lit("second"), *marked).alias("_k2")]
 
 
+def _quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def aside(df: DataFrame, text: str) -> DataFrame:
+    """`df` as two columns, `_row` (a struct of all other columns, under numbers) and `_text`.
+
+    An operator may then name its own columns as it likes, whatever the names in `df`.
+    """
+    rest = [F.col(_quoted(c)).alias(f"c{i}") for i, c in enumerate(df.columns) if c != text]
+    return df.select(F.struct(*rest, F.lit(True).alias("row")).alias("_row"), F.col(_quoted(text)).alias("_text"))
+
+
+def restored(columns: list[str], text: str, body: str | None = "_text") -> list:
+    """The columns set aside under their own names, `text` from the column `body`, or left out if that is None."""
+    return [F.col(f"_row.c{i}").alias(c) if c != text else F.col(body).alias(c) for i, c in enumerate(columns) if c != text or body]
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 of every text; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from kickline.llm.common import batched, mixed, row_key, table, texts_of
+from kickline.llm.common import aside, batched, mixed, restored, row_key, table, texts_of
 from kickline.llm.registry import query
 from kickline.session import stage
 
@@ -183,20 +184,20 @@ def drop_frequent_lines(docs: DataFrame, text: str = "text", least_docs: int = 1
     A line's key is the line stripped of ASCII white space at both ends, A-Z lower-cased. Keys of at
     least `least_chars` code points found in at least `least_docs` rows lose all their lines. Every
     row is a document, repeated rows too. A null or empty text is one empty line and comes
-    back empty; an empty table gives an empty table. Other columns may have any names except the
-    ones beginning with an underscore named here.
+    back empty; an empty table gives an empty table. Other columns may have any names except
+    _n_lines and _n_dropped.
     """
-    keyed = docs.select("*", *row_key(*[c for c in docs.columns if c in ("doc_id", text)]))
-    gone = frequent_lines(keyed, text, least_docs, least_chars)
-    fields = keyed.join(gone, ["_k1", "_k2"], "left").select(*docs.columns, "gone")
-    at, n = docs.columns.index(text), len(docs.columns)
-    kinds = [f"`{c}` {t}" for c, t in docs.dtypes]
-    kinds[at] = f"`{text}` string"
+    named = ["_text"] + [f"_row.c{docs.columns.index(c)}" for c in ("doc_id",) if c in docs.columns and c != text]
+    keyed = aside(docs, text)
+    keyed = keyed.select("*", *row_key(*sorted(named, reverse=True)))
+    gone = frequent_lines(keyed, "_text", least_docs, least_chars)
+    fields = keyed.join(gone, ["_k1", "_k2"], "left").select("_row", "_text", "gone")
+    kinds = StructType([fields.schema["_row"], StructField("_text", StringType()), StructField("_n_lines", LongType()), StructField("_n_dropped", LongType())])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batched(batches):
             kept, lines, dropped = [], [], []
-            for body, gone in zip(texts_of(batch.column(at)), batch.column(n).to_pylist(), strict=True):
+            for body, gone in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 parts = body.split(b"\n")
                 if gone:
                     bad = {(g["h"], g["f"]) for g in gone}
@@ -207,11 +208,10 @@ def drop_frequent_lines(docs: DataFrame, text: str = "text", least_docs: int = 1
                     kept.append(body.decode())
                     dropped.append(0)
                 lines.append(len(parts))
-            columns = [batch.column(i) if i != at else pa.array(kept, pa.string()) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())],
-                                             names=[*batch.schema.names[:n], "_n_lines", "_n_dropped"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())],
+                                             names=["_row", "_text", "_n_lines", "_n_dropped"])
 
-    return fields.mapInArrow(clean, ", ".join([*kinds, "_n_lines long, _n_dropped long"]))
+    return fields.mapInArrow(clean, kinds).select(*restored(docs.columns, text), "_n_lines", "_n_dropped")
 
 
 SQL = r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),

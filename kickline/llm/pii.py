@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from kickline.llm.common import row_key, table
+from kickline.llm.common import aside, restored, row_key, table
 from kickline.llm.registry import query
 from kickline.session import stage
 
@@ -35,12 +35,12 @@ STRICT = {
 #: Looser forms.
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?[A-Za-z0-9-]{2,63}+){1,4}",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "ip": r"(?<![0-9A-Za-z_:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Za-z_:])",
     "card": r"(?<![0-9.])[0-9]{4}(?:[./_]|\x20-\x20)[0-9]{4}(?:[./_]|\x20-\x20)[0-9]{4}(?:[./_]|\x20-\x20)[0-9]{1,7}(?![0-9])",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{2,4}\)\x20?|0[0-9]{1,4}[\x20./-]|[0-9]{3}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])",
 }
 #: A cheap test that a text can hold the form at all.
-NEEDS = {("email", 0): "@", ("email", 1): r"@|\(at\)|\[at\]|\{at\}|\x20at\x20", ("ip", 0): r"[0-9]\.[0-9]", ("ip", 1): r"[0-9A-Fa-f]:[0-9A-Fa-f]",
+NEEDS = {("email", 0): "@", ("email", 1): r"@|\(at\)|\[at\]|\{at\}|\x20at\x20", ("ip", 0): r"[0-9]\.[0-9]", ("ip", 1): r"[0-9A-Fa-f]:[0-9A-Fa-f:]",
          ("card", 0): r"[0-9][\x20-]?[0-9]", ("card", 1): r"[0-9]{4}[./_\x20]", ("phone", 0): r"\+[0-9]", ("phone", 1): r"[0-9]{3}"}
 #: Words that speak for a kind just before or after it, and words that speak against any.
 CUES = {"email": "e-?mail|mail|contact|write|reach|address", "ip": r"\bip\b|ipv[46]|host|server|address|login",
@@ -51,6 +51,8 @@ CONTEXT = 32
 FEATURES = ("kind", "loose", "cue", "against", "digits", "parts", "marked", "checked", "glued")
 #: Trees, their learning rate, and the share of right labels a threshold needs.
 TREES, RATE, PRECISION = 40, 0.3, 0.98
+#: Weight of a written example, and of all strict candidates of a corpus together, so that its size changes nothing.
+WRITTEN_WEIGHT, CORPUS_WEIGHT = 5.0, 200.0
 
 #: (kind, text, right): candidates in context, for the looser forms above all; spans are found by the generators.
 WRITTEN = (
@@ -58,7 +60,9 @@ WRITTEN = (
     ("email", "reach her by mail sam at example dot com now", 1), ("email", "e-mail bob42 @ example.com for more", 1), ("email", "look at the site. More", 0),
     ("email", "we met at noon. Then", 0), ("email", "arrived at home. And then", 0), ("email", "it was sold at market. The rest", 0), ("email", "tickets at example.com are free", 0),
     ("ip", "server ip 2001:0db8:0000:0000:0000:ff00:0042:8329 is down", 1), ("ip", "login from host fe80:0:0:0:202:b3ff:fe1e:8329 at night", 1),
-    ("ip", "ratio 1:2:3:4:5:6:7:8 in the score", 0), ("ip", "release version 1:0:0:0:0:0:0:1 notes", 0),
+    ("ip", "gateway address 2001:db8::1 answers", 1), ("ip", "the ip fe80::1 of the host", 1), ("ip", "login from 2a02:8070:61::8329 today", 1), ("ip", "host 2001:db8:: is ours", 1),
+    ("ip", "blocked 2001:db8:85a3::8a2e:370:7334 again", 1), ("ip", "seen at 2a00:1450:4001:82b::200e twice", 1), ("ip", "the ratio 3::4 of the score", 0), ("ip", "section a::b of the page", 0),
+    ("ip", "it was 10::20 then", 0), ("ip", "the class c::d has", 0), ("ip", "item 7:: the next", 0), ("ip", "ratio 1:2:3:4:5:6:7:8 in the score", 0), ("ip", "release version 1:0:0:0:0:0:0:1 notes", 0),
     ("card", "credit card 4111.1111.1111.1111 expires", 1), ("card", "visa 4012 - 8888 - 8888 - 1881 payment", 1), ("card", "card 5500_0000_0000_0004 charged", 1),
     ("card", "order 2020/2021/2022/2023 section", 0), ("card", "invoice 1000.2000.3000.4000 total", 0), ("card", "page 1999/2000/2001/2002 of", 0),
     ("phone", "call (415) 555-2671 now", 1), ("phone", "tel 020 7946 0958 office", 1), ("phone", "phone: 415-555-0199 or", 1), ("phone", "fax 0171/555 1234 thanks", 1),
@@ -183,7 +187,8 @@ def boost(cells: list[tuple[dict[str, int], float, float]]) -> Model:
         model.trees.append(best[1:])
         values = [z + best[3][2 * (c[0][best[1][0]] == best[1][1]) + (c[0][best[2][0]] == best[2][1])] for z, c in zip(values, cells, strict=True)]
     for k, kind in enumerate(KINDS, 1):
-        own = sorted(((1 / (1 + math.exp(-model.value(c))), a, b) for c, a, b in cells if c["kind"] == k), reverse=True)
+        # strict spans stay whatever the threshold, so only the looser ones set it
+        own = sorted(((1 / (1 + math.exp(-model.value(c))), a, b) for c, a, b in cells if c["kind"] == k and c["loose"]), reverse=True)
         good = bad = 0.0
         least = 2.0
         for p, a, b in own:
@@ -204,47 +209,67 @@ def cells_of(rows: DataFrame, right: Column) -> list[tuple[dict[str, int], int,
 def train(spark: SparkSession, rows: DataFrame) -> Model:
     """A model from described candidates of the corpus and the written table.
 
-    Counts of the corpus enter by their square root, so that a corpus of any size leaves the written
-    table its say.
+    Counts of the corpus enter by their square root and add up to a fixed weight, so that a corpus of
+    any size leaves the written table its say and its size alone moves no threshold.
     """
     written = spark.createDataFrame([(i, k, t, bool(y)) for i, (k, t, y) in enumerate(WRITTEN)], "n long, want string, text string, right boolean")
     known = described(candidates(written, "text", ["n"])).join(written.select("n", "want", "right"), "n").filter("kind = want AND loose = 1")
-    cells = [(c, 5.0 * a, 5.0 * b) for c, a, b in cells_of(known, F.col("right"))]
-    cells += [(c, math.sqrt(a), math.sqrt(b)) for c, a, b in cells_of(rows, F.col("passed"))]
-    return boost(cells)
+    cells = [(c, WRITTEN_WEIGHT * a, WRITTEN_WEIGHT * b) for c, a, b in cells_of(known, F.col("right"))]
+    strict = [(c, math.sqrt(a), math.sqrt(b)) for c, a, b in cells_of(rows, F.col("passed"))]
+    share = CORPUS_WEIGHT / max(sum(a + b for _, a, b in strict), 1.0)
+    return boost(cells + [(c, share * a, share * b) for c, a, b in strict])
 
 
 def accepted(rows: DataFrame, keys: list[str], model: Model) -> DataFrame:
-    """Rows (keys, spans): per text its spans (kind, start, end, base), base spans and accepted loose ones that overlap none of them."""
+    """Rows (keys, spans): per text its spans (kind, start, end, base), base spans and accepted loose ones.
+
+    A loose span that overlaps a base span goes; of those left that overlap each other the leftmost
+    stays, of two that start together the longer one. A dropped span drops no other.
+    """
     kept = rows.filter((F.col("loose") == 0) & F.col("passed") | (F.col("loose") == 1) & model.accepts()).select(*keys, "kind", "loose", "start", "end")
-    # a loose span must begin after all ends before it and end before the next strict start
-    order = Window.partitionBy(*keys).orderBy("start", "loose", "end", "kind")
-    ends = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # a loose span must begin after all strict ends before it and end before the next strict start
+    order = Window.partitionBy(*keys).orderBy("start", "loose", F.col("end").desc(), "kind")
+    ends = F.max(F.when(F.col("loose") == 0, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     strict_next = F.min(F.when(F.col("loose") == 0, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     free = kept.withColumn("_e", ends).withColumn("_n", strict_next).filter(
         (F.col("loose") == 0) | (F.coalesce(F.col("_e") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("_n") >= F.col("end"), F.lit(True))))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    return free.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "start", "end", "kind", (F.col("loose") == 0).alias("base")))).alias("spans"))
+    span = F.struct(rank.alias("rank"), "start", "end", "kind", (F.col("loose") == 0).alias("base"))
+    # loose spans of a text from left to right; only texts in which some overlap are walked
+    last = F.max(F.when(F.col("loose") == 1, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    meets = (F.col("loose") == 1) & F.coalesce(last > F.col("start"), F.lit(False))
+    placed = free.select(*keys, "loose", span.alias("span"), F.struct("start", (-F.col("end")).alias("to"), span.alias("span")).alias("at"), meets.alias("meets"))
+    each = placed.groupBy(*keys).agg(F.collect_list(F.when(F.col("loose") == 0, F.col("span"))).alias("strict"), F.sort_array(F.collect_list(F.when(F.col("loose") == 1, F.col("at")))).alias("loose"), F.max("meets").alias("meets"))
+    own = F.transform("loose", lambda x: x["span"])
+    walk = F.aggregate(own, F.array().cast(each.schema["strict"].dataType), lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] > s["start"]), done).otherwise(F.concat(done, F.array(s))))
+    return each.select(*keys, F.sort_array(F.concat("strict", F.when(F.col("meets"), walk).otherwise(own))).alias("spans"))
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` plus `_spans`, an array of (rank, start, end, kind, base) sorted by kind as listed, then start.
 
     Starts and ends are code points, ends exclusive. A null or empty text has no spans; every row comes
-    back, repeated rows too, and equal texts get equal spans. An empty table gives an empty table.
+    back, repeated rows too, and equal texts get equal spans. An empty table gives an empty table. Other
+    columns may have any names except _spans.
     """
-    keyed = docs.select("*", *row_key(text))
+    return _with_spans(docs, text).select(*restored(docs.columns, text), "_spans")
+
+
+def _with_spans(docs: DataFrame, text: str) -> DataFrame:
+    """`docs` set aside as _row and _text, plus _spans."""
+    keyed = aside(docs, text)
+    keyed = keyed.select("*", *row_key("_text"))
     keys = ["_k1", "_k2"]
-    rows = stage(described(candidates(keyed, text, keys)), "candidates")
+    rows = stage(described(candidates(keyed, "_text", keys)), "candidates")
     model = train(docs.sparkSession, rows)
     spans = stage(accepted(rows, keys, model), "spans")
     empty = F.array().cast(spans.schema["spans"].dataType)
-    return keyed.join(spans, keys, "left").withColumn("_spans", F.coalesce("spans", empty)).drop(*keys, "spans")
+    return keyed.join(spans, keys, "left").select("_row", "_text", F.coalesce("spans", empty).alias("_spans"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with every span of `text` replaced by its kind in angle brackets; overlapping spans give one mark, of the first."""
-    found = find(docs, text)
+    """`docs` with every span of `text` replaced by its kind in angle brackets; overlapping spans give one mark, of the first. Columns may have any names."""
+    found = _with_spans(docs, text)
     by_place = F.sort_array(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     merged = F.aggregate(by_place, F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>"),
                          lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] > s["start"]),
@@ -252,9 +277,9 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
                          .otherwise(F.concat(done, F.array(s))))
     step = found.withColumn("_done", F.when(F.size("_spans") > 0, merged))
     zipped = F.arrays_zip(F.col("_done").alias("own"), F.concat(F.array(F.lit(0).cast("long")), F.transform("_done", lambda s: s["end"])).alias("last"))
-    pieces = F.transform(zipped, lambda z: F.when(z["own"].isNull(), F.substring(F.col(text), (z["last"] + 1).cast("int"), F.lit(2**31 - 1)))
-                         .otherwise(F.concat(F.substring(F.col(text), (z["last"] + 1).cast("int"), (z["own"]["start"] - z["last"]).cast("int")), F.lit("<"), F.upper(z["own"]["kind"]), F.lit(">"))))
-    return step.withColumn(text, F.when(F.col("_done").isNotNull(), F.array_join(pieces, "")).otherwise(F.col(text))).select(*docs.columns)
+    pieces = F.transform(zipped, lambda z: F.when(z["own"].isNull(), F.substring("_text", (z["last"] + 1).cast("int"), F.lit(2**31 - 1)))
+                         .otherwise(F.concat(F.substring("_text", (z["last"] + 1).cast("int"), (z["own"]["start"] - z["last"]).cast("int")), F.lit("<"), F.upper(z["own"]["kind"]), F.lit(">"))))
+    return step.select("_row", F.when(F.col("_done").isNotNull(), F.array_join(pieces, "")).otherwise(F.col("_text")).alias("_text")).select(*restored(docs.columns, text))
 
 
 @query("op1_pii")

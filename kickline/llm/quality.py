@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kickline.llm.common import table
+from kickline.llm.common import aside, restored, table
 from kickline.llm.registry import query
 from kickline.session import stage
 
@@ -107,17 +107,20 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", line_texts:
 
     A null or empty text has no words and fails. Every row is judged and comes back, repeated rows
     too; equal texts of a host get the same verdict; texts with the same set of normalised lines count once; a null host is a host of its own. An
-    empty table gives an empty table.
+    empty table gives an empty table. Columns may have any names but those of the result.
     """
+    columns, counts = docs.columns, ["_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words"]
     lines = stage(boilerplate(docs, host, text, line_texts), "boilerplate")
-    stats = text_statistics(docs.select("*", *_host_and_text(host, text)), text)
-    stats = stats if keep_text else stats.drop(text)
+    placed = aside(docs, text)
+    host_field = F.col("_text") if host == text else F.col(f"_row.c{columns.index(host)}")
+    stats = text_statistics(placed.select("*", host_field.alias("_of")).select("_row", "_text", *_host_and_text("_of", "_text")), "_text")
+    stats = stats if keep_text else stats.drop("_text")
     joined = stats.withColumn("_base_failed", base_failed()).join(lines if keep_text else lines.drop("_drop"), ["_host", "_t1", "_t2"], "left")
     # _all is _n_words times the number of equal texts
     left = F.col("_n_words") - F.coalesce(F.expr("_lost div (_all div _n_words)"), F.lit(0))
     joined = joined.withColumn("_n_left", left).withColumn("_kept", ~F.col("_base_failed") & F.coalesce(F.col("_all") - F.col("_lost") >= remaining * F.col("_all"), F.lit(True)) & (F.col("_n_left") >= least_left))
-    joined = joined.withColumn("_clean", without_lines(text, "_drop")) if keep_text else joined
-    return joined.drop("_host", "_t1", "_t2", "_drop", "_lost", "_all")
+    clean = [without_lines("_text", "_drop").alias("_clean")] if keep_text else []
+    return joined.select(*restored(columns, text, "_text" if keep_text else None), *counts, "_base_failed", "_n_left", "_kept", *clean)
 
 
 SQL = r"""WITH b AS (SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text FROM documents),

@@ -84,6 +84,44 @@ def test_clean_numbers_are_left_alone(spark):
     assert all(r._spans == [] for r in pii.find(df).collect())
 
 
+def test_compressed_addresses_and_overlaps(spark):
+    from kickline.llm import pii
+    df = spark.createDataFrame([(1, "server ip 2001:db8::1 and host fe80::1 here"), (2, "std::vector a::b, ratio 3::4 and 12:30:45 std::d::e"), (3, "seen 2001:db8:85a3::8a2e:370:7334 again")], "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r._spans] for r in pii.find(df).collect()}
+    assert got == {1: [("ip", 10, 21), ("ip", 31, 38)], 2: [], 3: [("ip", 5, 33)]}
+    model = pii.Model(start=9.0, thresholds=dict.fromkeys(pii.KINDS, 0.5))
+    spans = [("email", 0, 0, 10), ("phone", 1, 5, 20), ("card", 1, 15, 25), ("card", 1, 30, 40), ("phone", 1, 30, 44), ("ip", 1, 42, 50), ("ip", 1, 44, 48)]
+    rows = spark.createDataFrame([(1, k, loose, a, b, True if loose == 0 else None) for k, loose, a, b in spans], "k int, kind string, loose int, start long, end long, passed boolean")
+    assert [(s.kind, s.start) for s in pii.accepted(rows, ["k"], model).first().spans] == [("email", 0), ("ip", 44), ("card", 15), ("phone", 30)]
+
+
+def test_thresholds_do_not_depend_on_the_corpus_size(spark):
+    from kickline.llm import pii
+    texts = ["mail joe@ex.com or 1.2.3.4", "300.1.1.1 and 4111111111111111", "4111111111111112 or +14155552671", "+1 23 x"]
+    told = []
+    for times in (1, 50):
+        df = spark.createDataFrame([(i, t) for i in range(times) for t in texts], "doc_id long, text string")
+        told.append(pii.train(spark, pii.described(pii.candidates(df, "text", ["doc_id", "text"]))))
+    assert told[0].thresholds == pytest.approx(told[1].thresholds, abs=1e-6) and max(told[0].thresholds.values()) < 1
+
+
+def test_extra_columns_of_any_name(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    from kickline.llm import line_dedup, pii, quality
+    rows = [(i, f"{text(700 + i, 60)} joe{i}@ex.com", "h", i) for i in range(3)]
+    names = ["spans", "gone", "_host", "_w", "_l", "_h", "_t1", "_k1", "_row", "_text", "_done", "h", "kind", "c0", "loose"]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", "n"]).select("doc_id", "text", "source", *[F.col("n").alias(c) for c in names])
+    kept = [(i, *[n] * len(names)) for i, _, _, n in rows]
+    for got in (quality.judge(docs.withColumnRenamed("kind", "a.b")), line_dedup.drop_frequent_lines(docs.withColumnRenamed("kind", "a.b"))):
+        assert got.columns[:3] == docs.columns[:3] and "a.b" in got.columns
+        assert sorted((r[0], *r[3:3 + len(names)]) for r in got.collect()) == kept
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.line_dedup_stage):
+        assert sorted((r[0], *r[3:]) for r in stage(spark, docs, "").collect()) == kept
+    clean = pii.redact(docs).collect()
+    assert sorted((r[0], *r[3:]) for r in clean) == kept and sorted(r[1] for r in clean) == sorted(t.split(" joe")[0] + " <EMAIL>" for _, t, _, _ in rows)
+
+
 # -- 2 quality ------------------------------------------------------------------------------------------
 
 def test_quality_statistics(docs, none):
