@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kickline.operators.asof import History, asof_attach
-from kickline.operators.windows import lookback, running
+from kickline.operators.windows import lookback
 from kickline.session import stage
 
 OPEN_END_US = 4_102_358_400_000_000   # fixed value: 2099-12-31
@@ -54,7 +53,7 @@ def valid_at(intervals: DataFrame, by: list[str], instants: DataFrame, at: str,
     keep = intervals.select(*by, value, "valid_from", "valid_to", *[c.alias(o) for o, c in sums.items() if o != value])
     cal = instants.select(F.col(at).cast("long").alias("_at")).filter(F.col("_at").isNotNull()).distinct()
     n = cal.count()
-    cal, ranked = _rank_by_asof(cal, keep)
+    cal, ranked = _rank_by_range(cal, keep)
     # read by the totals and by the largest values
     ranked = stage(ranked.filter(F.col("_first") <= F.col("_last")).drop("valid_from", "valid_to"), "ranked")
     levels = max(n - 1, 1).bit_length()
@@ -81,16 +80,36 @@ def valid_at(intervals: DataFrame, by: list[str], instants: DataFrame, at: str,
     return out
 
 
-def _rank_by_asof(cal: DataFrame, intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Numbers the instants and the interval ends by as-of steps."""
-    numbered = (running(cal.withColumn("_k", F.lit(1)), ["_k"], ["_at"], ordinal="_o")
-                .select("_k", "_at", (F.col("_o") - 1).alias("_i"), "_o"))
-    out = intervals.withColumn("_k", F.lit(1))
-    for end, name in (("valid_from", "_first"), ("valid_to", "_last")):
-        out = asof_attach(out, ["_k"], end, [History(numbered, "_at", ["_o"])])
-        before = F.coalesce(F.col("_o"), F.lit(0))
-        out = out.withColumn(name, before if name == "_first" else before - 1).drop("_o")
-    return numbered.select("_at", "_i"), out.drop("_k")
+def _rank_by_range(cal: DataFrame, intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Numbers the distinct instants from 0, and gives every interval the first and last it covers.
+
+    Instants and distinct ends are ranged over partitions together. A partition counts its own
+    instants, the counts of those before it are its offset, so no task sees more than its range. An
+    open end is after all instants and takes no part. Ends that are null cover nothing.
+    """
+    spark = cal.sparkSession
+    last = cal.agg(F.count_if(F.col("_at") < OPEN_END_US)).first()[0] - 1
+    ends = intervals.select("valid_from").union(intervals.filter(F.col("valid_to") != OPEN_END_US).select("valid_to")).toDF("_at")
+    marks = (cal.select("_at", F.lit(1).alias("_is")).union(ends.filter(F.col("_at").isNotNull()).distinct().select("_at", F.lit(0)))
+             .groupBy("_at").agg(F.max("_is").alias("_is")))
+    # written, so that every reader sees the same borders
+    ranged = stage(marks.repartitionByRange("_at").withColumn("_p", F.spark_partition_id()), "instants")
+    counts = sorted((r["_p"], r["n"]) for r in ranged.groupBy("_p").agg(F.sum("_is").alias("n")).collect())   # one row per partition
+    before, offsets = 0, []
+    for part, n in counts:
+        offsets.append((part, before))
+        before += n
+    start = spark.createDataFrame(offsets, "_p int, _before long")
+    own = Window.partitionBy("_p").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = (ranged.withColumn("_own", F.coalesce(F.sum("_is").over(own), F.lit(0)))
+                .join(F.broadcast(start), "_p").select("_at", "_is", (F.col("_before") + F.col("_own")).alias("_i")))
+    numbered = stage(numbered, "numbered")   # read by the instants and by both ends
+    rank = numbered.select("_at", "_i")
+    out = intervals.join(rank.toDF("valid_from", "_first"), "valid_from")
+    closed = out.filter(F.col("valid_to") != OPEN_END_US).join(rank.toDF("valid_to", "_to"), "valid_to")
+    still = out.filter(F.col("valid_to") == OPEN_END_US).withColumn("_last", F.lit(last).cast("long"))
+    return (numbered.filter("_is = 1").select("_at", "_i"),
+            closed.withColumn("_last", F.col("_to") - 1).drop("_to").unionByName(still))
 
 
 def _lower_bound(grid: Column, x: Column, steps: int = 24) -> Column:

@@ -144,3 +144,28 @@ def test_rival_values_and_join_cardinality(spark):
         checked_join(df, df.withColumnRenamed("xg", "y").drop("team"), ["g"])
     with pytest.raises(CardinalityError):
         checked_join(df.select("g"), spark.createDataFrame([(1,)], "g int"), ["g"], keep_all=True)
+
+
+def test_instants_are_ranked_over_ranges(spark):
+    """Equal starts, open ends, instants on the ends, ends outside of all instants; no task holds all of them."""
+    rows = [("a" if i % 3 else "b", i, (i * 37) % 50 - 5, intervals.OPEN_END_US if i % 7 == 0 else (i * 37) % 50 - 5 + i % 19, i) for i in range(300)]
+    rows += [("a", 900, None, 10, 5), ("b", 901, 3, None, 5), ("b", 902, 4, 4, 5)]
+    valid = spark.createDataFrame(rows, "club string, id long, valid_from long, valid_to long, value long")
+    at = [*range(0, 60, 2), 0, None]
+    instants = spark.createDataFrame([(x,) for x in at], "at long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = intervals.valid_at(valid, ["club"], instants, "at", "value", {"total": F.col("value")}, top_n=3)
+        numbered, _ = intervals._rank_by_range(instants.select(F.col("at").alias("_at")).filter("_at IS NOT NULL").distinct(), valid)
+        assert sorted(tuple(r) for r in numbered.collect()) == [(x, i) for i, x in enumerate(range(0, 60, 2))]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for x in range(0, 60, 2):
+        for club in "ab":
+            hit = sorted((v for c, _, f, t, v in rows if c == club and f is not None and t is not None and f <= x < t), reverse=True)
+            if hit:
+                want[club, x] = (sum(hit), len(hit), sum(hit[:3]))
+    assert {(r.club, r["at"]): (r.total, r.n_valid, r.top3) for r in out.collect()} == want
+    none = intervals.valid_at(valid, ["club"], instants.limit(0), "at", "value", {"total": F.col("value")})
+    assert none.count() == 0
