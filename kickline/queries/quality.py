@@ -10,6 +10,7 @@ from kickline.operators import compare as cmp
 from kickline.operators import players as pl
 from kickline.operators.asof import History, asof_attach
 from kickline.operators.calendar import deadlines
+from kickline.operators.constraints import Reference, Rule, violations
 from kickline.operators.intervals import validity
 from kickline.operators.joins import checked_join, duplicate_keys, fill_gaps, sized_broadcast
 from kickline.operators.scoring import CLASSES, argmax_class, probs, unknown_labels
@@ -271,6 +272,54 @@ def q14(spark, sf):
     return ck.rule_table(silver.match(spark, sf), {n: F.expr(c) for n, c in _RULES.items()})
 
 
+# a season has 380 matches between 20 teams, and its odds and expected goals are nearly complete (fixed values)
+KEYS = {"match": ("season", "fixture_id"), "player": ("season", "fixture_id", "line_no"), "cut": ("season", "gameweek"), "team": ("n_name",)}
+CONSTRAINTS = [
+    Rule("match", "keys_present", "season IS NOT NULL AND match_date IS NOT NULL AND home IS NOT NULL AND away IS NOT NULL"),
+    Rule("match", "result_known", "result IS NULL OR result IN ('home', 'draw', 'away')"),
+    Rule("match", "result_is_that_of_the_goals", "result = CASE WHEN home_goals > away_goals THEN 'home' WHEN home_goals < away_goals THEN 'away' ELSE 'draw' END"),
+    Rule("match", "two_teams", "home <> away"),
+    *[Rule("match", f"{c}_above_one", f"{c} IS NULL OR {c} > 1") for c in ("odds_home", "odds_draw", "odds_away")],
+    *[Rule("match", f"{c}_from_1_to_5", f"{c} IS NULL OR {c} BETWEEN 1 AND 5") for c in ("fdr_home", "fdr_away")],
+    Rule("match", "gameweek_in_range", "gameweek IS NULL OR gameweek BETWEEN 1 AND 38"),
+    Rule("match", "weights_positive", "w_home > 0 AND w_draw > 0 AND w_away > 0"),
+    Rule("match", "fixture_once", "count(*) = 1", ("season", "fixture_id")),
+    Rule("match", "pair_once", "count(*) = 1", ("season", "home", "away")),
+    Rule("match", "matches_of_a_season", "count(*) = 380", ("season",)),
+    Rule("match", "odds_nearly_complete", "100 * count(odds_home) > 95 * count(*)", ("season",)),
+    Rule("match", "gameweeks_present", "count(DISTINCT gameweek) >= 38", ("season",)),
+    Rule("cut", "cutoff_present", "cutoff IS NOT NULL"),
+    Rule("cut", "one_cutoff", "count(DISTINCT cutoff) = 1", ("season", "gameweek")),
+    Rule("player", "keys_present", "season IS NOT NULL AND gameweek IS NOT NULL AND team IS NOT NULL"),
+    Rule("player", "position_known", "position IS NULL OR position IN ('GK', 'DEF', 'MID', 'FWD')"),
+    Rule("player", "minutes_from_0_to_120", "minutes IS NULL OR minutes BETWEEN 0 AND 120"),
+    Rule("player", "xg_nearly_complete", "100 * count(xg) >= 99 * count(*)", ("season",)),
+    Rule("player", "player_once_in_a_match", "count(*) = 1", ("season", "fixture_id", "player")),
+    Reference("match", "home_is_a_team", ("home",), "team", ("n_name",)),
+    Reference("match", "away_is_a_team", ("away",), "team", ("n_name",)),
+    Reference("player", "team_is_a_team", ("team",), "team", ("n_name",)),
+    Reference("player", "match_exists", ("season", "fixture_id"), "match", ("season", "fixture_id")),
+    Reference("match", "cutoff_exists", ("season", "gameweek"), "cut", ("season", "gameweek")),
+]
+
+
+def _constraint_sql(r: Rule | Reference) -> str:
+    of = {"match": "fx_match", "player": "fx_player", "cut": "fx_cut", "team": "nation"}
+    head = f"SELECT '{r.table}' AS table_name, '{r.name}' AS rule"
+    if isinstance(r, Reference):
+        same = " AND ".join(f"t.{b} = s.{a}" for a, b in zip(r.columns, r.target_columns, strict=True))
+        return f"{head}, count(*) AS violations, min(concat_ws('|', {', '.join('s.' + c for c in r.columns)})) AS sample FROM {of[r.table]} s WHERE NOT EXISTS (SELECT 1 FROM {of[r.target]} t WHERE {same})"
+    by = r.by or KEYS[r.table]
+    rows = f"SELECT concat_ws('|', {', '.join(by)}) AS k, {r.ok} AS ok FROM {of[r.table]}" + (f" GROUP BY {', '.join(by)}" if r.by else "")
+    return f"{head}, count(*) FILTER (WHERE NOT coalesce(ok, false)) AS violations, min(k) FILTER (WHERE NOT coalesce(ok, false)) AS sample FROM ({rows})"
+
+
+@query("q14_constraint_suite", " UNION ALL ".join(map(_constraint_sql, CONSTRAINTS)))
+def q14_suite(spark, sf):
+    tables = {"match": silver.match(spark, sf), "player": silver.player(spark, sf), "cut": silver.cutoffs(spark, sf), "team": silver.table(spark, sf, "nation")}
+    return violations(tables, KEYS, CONSTRAINTS)
+
+
 @query("q15_freshness_diagnosis", f"""WITH g AS (SELECT season, max(kick) FILTER (WHERE kick < {NOW}) AS played, min(cutoff) FILTER (WHERE kick >= {NOW}) AS nxt, max(kick) AS built FROM fx_match JOIN fx_cut USING (season, gameweek) GROUP BY season)
     SELECT season, CASE WHEN nxt IS NULL THEN 'nothing_to_predict' WHEN played >= nxt THEN 'played_past_cutoff' WHEN nxt <= {NOW} AND {NOW} - built < 10800000000 THEN 'waiting_for_source' WHEN nxt <= {NOW} THEN 'cutoff_passed' ELSE 'fresh' END AS diagnosis FROM g""")
 def q15(spark, sf):
