@@ -415,6 +415,7 @@ def test_near_duplicates(spark, docs, none):
 # -- the whole --------------------------------------------------------------------------------------------
 
 def test_sql_twins(spark):
+    import corpus_pipeline  # noqa: F401  registers every query
     from kickline.llm.registry import ORACLE, QUERIES
     from tests.oracle_check import compare, connect
     con = connect(SMALL)
