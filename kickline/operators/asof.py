@@ -68,11 +68,8 @@ def asof_attach(objectives: DataFrame, by: list[str], at: str, histories: list[H
     else:
         rows = with_block(union, by, "_t", spans)
         rank = F.struct("_t", "_tie")
-        ends = (rows.filter(F.col(HOT) & (F.col("_tag") == 1)).groupBy(*by, BLOCK)
-                .agg(*[F.max_by(s, F.when(F.col(s).isNotNull(), rank)).alias(s) for s in slots]))
-        # blocks that hold only objectives need a carry too
-        blocks = rows.filter(HOT).select(*by, BLOCK).distinct()
-        ends = blocks.join(ends, [*by, BLOCK], "left")
+        # objectives count too: a block that holds nothing else needs a carry as well
+        ends = rows.filter(HOT).groupBy(*by, BLOCK).agg(*[F.max_by(s, F.when(F.col(s).isNotNull(), rank)).alias(s) for s in slots])
         earlier = Window.partitionBy(*by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
         carry = ends.select(*by, BLOCK, *[F.last(s, ignorenulls=True).over(earlier).alias(f"_c{s}") for s in slots])
         rows = rows.select(*by, BLOCK, "_tag", "_obj", *local).filter(F.col("_tag") == 0)

@@ -43,8 +43,8 @@ def drawdown(bets: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     Each block of bets reduces to (profit, highest running profit, deepest fall
     inside); the blocks of a key are then chained, so a long series is not one task.
     """
-    spans = hot_spans(bets, keys, order[0])
-    rows = with_block(bets, keys, order[0], spans) if spans is not None else bets.withColumns(
+    spans = hot_spans(bets, keys, order)
+    rows = with_block(bets, keys, order, spans) if spans is not None else bets.withColumns(
         {BLOCK: F.lit(0).cast("long"), HOT: F.lit(False)})
     part = [*keys, BLOCK]
     frame = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -17,16 +17,16 @@ def lookback(df: DataFrame, keys: list[str], order: list[str], back: int,
              build: Callable[[WindowSpec], dict[str, Column]], split: bool = True) -> DataFrame:
     """Adds window columns whose frames reach at most `back` rows behind the row.
 
-    `order[0]` is the numeric time; the rest breaks ties. In a hot key every
+    `order[0]` is the numeric time; the rest breaks ties, and cuts instants that outgrow a block. In a hot key every
     block also sees the last `back` rows before it as context. `split=False`
     skips the search for hot keys where the caller already knows there are none.
     """
-    spans = hot_spans(df, keys, order[0]) if split else None
+    spans = hot_spans(df, keys, order) if split else None
     if spans is None:
         cols = build(Window.partitionBy(*keys).orderBy(*order))
         return df.select("*", *[c.alias(n) for n, c in cols.items()])
 
-    rows = with_block(df, keys, order[0], spans)
+    rows = with_block(df, keys, order, spans)
     latest_first = Window.partitionBy(*keys, BLOCK).orderBy(*[F.col(c).desc() for c in order])
     tails = (rows.filter(HOT)
              .withColumn("_rn", F.row_number().over(latest_first)).filter(F.col("_rn") <= back)
@@ -103,13 +103,13 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, st
     if ordinal:
         totals[ordinal] = (F.count, F.lit(1))
 
-    spans = hot_spans(df, keys, order[0]) if split else None
+    spans = hot_spans(df, keys, order) if split else None
     part = [*keys] if spans is None else [*keys, BLOCK]
     frame = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     if spans is None:
         return df.select("*", *[fn(c).over(frame).alias(out) for out, (fn, c) in totals.items()])
 
-    rows = with_block(df, keys, order[0], spans)
+    rows = with_block(df, keys, order, spans)
     per_block = (rows.filter(HOT).groupBy(*keys, BLOCK)
                  .agg(*[fn(c).alias(f"_c_{out}") for out, (fn, c) in totals.items()]))
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
