@@ -71,12 +71,23 @@ _KEPT = list(detailed.STATS)
     f"CAST(s{i:02d} AS DOUBLE) AS {c}" for i, c in enumerate(_KEPT)) + """, round(s00 / nullif(coalesce(s00, 0) + coalesce(s01, 0), 0), 6) AS box_share, round(s15 / nullif(s14, 0), 6) AS pass_accuracy FROM fx_stats""")
 def s04(spark, sf):
     t = silver.team_stats(spark, sf)
-    items = F.filter(F.array(*[F.struct(F.lit(src).alias("name"), F.col(f"s{i:02d}").cast("double").alias("value"))
-                               for i, src in enumerate(detailed.STATS.values())]), lambda s: s["value"].isNotNull())
-    per_fixture = (t.select("season", "fixture_id", F.when(F.col("is_home"), "1.0").otherwise("2.0").alias("tid"), F.struct(items.alias("M")).alias("blk"))
-                   .groupBy("season", "fixture_id").agg(F.map_from_entries(F.collect_list(F.struct("tid", "blk"))).alias("data")))   # two sides
-    docs = (per_fixture.groupBy("season", F.floor(F.col("fixture_id") / PAGE).alias("_page"))   # at most PAGE fixtures
-            .agg(F.map_from_entries(F.collect_list(F.struct(F.col("fixture_id").cast("string"), F.struct("data").alias("p")))).alias("doc")))
+    # numbers only go through the exchange; the names are added to a whole page
+    names = list(detailed.STATS.values())
+    per_side = t.select("season", "fixture_id", F.when(F.col("is_home"), "1.0").otherwise("2.0").alias("tid"),
+                        F.array(*[F.col(f"s{i:02d}").cast("double") for i in range(len(names))]).alias("values"))
+    page = F.floor(F.col("fixture_id") / PAGE).alias("_page")
+    paged = per_side.select("season", page, "fixture_id", F.struct("tid", "values").alias("s")).repartition("season", "_page")
+    pages = (paged.groupBy("season", "_page", "fixture_id").agg(F.collect_list("s").alias("sides"))   # two sides
+             .groupBy("season", "_page").agg(F.collect_list(F.struct("fixture_id", "sides")).alias("_all")))   # at most PAGE fixtures
+
+    def block(side):
+        named = F.transform(side["values"], lambda v, i: F.struct(F.get(F.lit(names), i).alias("name"), v.alias("value")))
+        return F.struct(side["tid"], F.struct(F.filter(named, lambda s: s["value"].isNotNull()).alias("M")).alias("blk"))
+
+    def fixture(x):
+        return F.struct(x["fixture_id"].cast("string").alias("fixture"), F.struct(F.map_from_entries(F.transform(x["sides"], block)).alias("data")).alias("p"))
+
+    docs = pages.select("season", F.map_from_entries(F.transform("_all", fixture)).alias("doc"))
     path = scratch_path(spark, "s04")
     docs.select("season", F.to_json("doc").alias("json")).write.parquet(path)
     wide = detailed.derive(detailed.parse(spark.read.parquet(path), "json", ["season"]))
