@@ -169,3 +169,26 @@ def test_instants_are_ranked_over_ranges(spark):
     assert {(r.club, r["at"]): (r.total, r.n_valid, r.top3) for r in out.collect()} == want
     none = intervals.valid_at(valid, ["club"], instants.limit(0), "at", "value", {"total": F.col("value")})
     assert none.count() == 0
+
+
+def test_wide_windows_stay_within_what_the_jvm_compiles(spark, tmp_path):
+    """A reader of the tables runs no projection as a method that HotSpot leaves to its interpreter; the means do not change."""
+    from kickline.operators.windows import rolling_mean
+    from kickline.session import METHOD_LIMIT
+    from kickline.sources.silver import table
+    cols = [f"c{i}" for i in range(14)]
+    rows = [(t, i, *[None if (i + j) % 5 == 0 else i * j for j in range(14)]) for t in ("a", "b") for i in range(8)]
+    spark.createDataFrame(rows, "team string, kick long, " + ", ".join(f"{c} long" for c in cols)).write.parquet(f"{tmp_path}/stats.parquet")
+    was = spark.conf.get(METHOD_LIMIT)
+    try:
+        spark.conf.set(METHOD_LIMIT, "65535")
+        got = rolling_mean(table(spark, str(tmp_path), "stats"), ["team"], ["kick"], {f"{c}_u{n}": (c, n) for n in (3, 5) for c in cols}).collect()
+        assert int(spark.conf.get(METHOD_LIMIT)) == 8000
+    finally:
+        spark.conf.set(METHOD_LIMIT, was)
+    assert len(got) == 16
+    for r in got:
+        for j, c in enumerate(cols):
+            for n in (3, 5):
+                seen = [i * j for i in range(max(0, r.kick - n + 1), r.kick + 1) if (i + j) % 5]
+                assert r[f"{c}_u{n}"] == (sum(seen) / len(seen) if seen else None)
