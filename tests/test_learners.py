@@ -1,5 +1,7 @@
 """Learners work their rows out once, however often they pass over them."""
 
+import threading
+
 import pytest
 
 from kickline.plans import learning as ln
@@ -36,3 +38,15 @@ def test_seeds_on_shared_rows_equal_separate_fits(spark):
     apart = ln.average([ln.forest(train, test, ["a", "b", "c"], seed=s, trees=4) for s in (1, 2)])
     a, b = ({r.fixture_id: tuple(r[p] for p in ln.PROBS) for r in d.collect()} for d in (shared, apart))
     assert a.keys() == b.keys() and len(a) == 60 and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+def test_seeds_are_fitted_side_by_side(spark):
+    train, test = (spark.createDataFrame(rows(n, s), SCHEMA) for n, s in ((120, 1), (30, 2)))
+    both = threading.Barrier(2, timeout=60)
+
+    def learner(*args, **kw):
+        both.wait()   # breaks if one fit waits for the other
+        return ln.forest(*args, **kw)
+
+    got = ln.seed_average(learner, train, test, ["a", "b", "c"], seeds=[1, 2], trees=2).collect()
+    assert len(got) == 30 and all(sum(r[p] for p in ln.PROBS) == pytest.approx(1) for r in got)
