@@ -108,7 +108,7 @@ def binary(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 
 
-def batched(batches: Iterator[pa.RecordBatch], most_bytes: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def batched(batches: Iterator[pa.RecordBatch], most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that the rows handled together stay small, whatever the texts' lengths."""
     for batch in batches:
         step = max(1, int(batch.num_rows * most_bytes / max(1, batch.nbytes)))

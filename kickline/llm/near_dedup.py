@@ -41,6 +41,10 @@ _BORROW = np.random.default_rng(20).integers(0, REGISTERS, (TRIES, REGISTERS))
 SLACK = 5.0
 #: Members of one block of a hub.
 BLOCK = 1024
+#: Bytes of sketches handled together; the arrays made from them take several times as much.
+SKETCHES = 1_000_000
+#: Bits of the largest set of nodes whose full sets are wanted.
+MARKS = 1 << 26
 
 _words, _rolling = WordValues(), Rolling(0xE7037ED1A0B428DB)
 
@@ -113,7 +117,7 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
 def band_rows(nodes: DataFrame, percent: int) -> DataFrame:
     """(band, node): one row per band of a set that can be linked with a large one, and per small shingle of a small set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batched(batches):
+        for batch in batched(batches, SKETCHES):
             bodies = batch.column(1).to_pylist()
             if not bodies:
                 continue
@@ -137,7 +141,7 @@ def near_hubs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             .select("node", "hub", "n", "m", "regs", "other"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batched(batches):
+        for batch in batched(batches, SKETCHES):
             if batch.num_rows:
                 a, b = _matrix(batch.column(4).to_pylist()), _matrix(batch.column(5).to_pylist())
                 got = estimates(a, b, batch.column(2).to_numpy(), batch.column(3).to_numpy())
@@ -271,7 +275,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         return stage(source.mapInArrow(run, "node long, shingles binary"), "sets")
 
     def marks(df: DataFrame) -> Bitmap:
-        return Bitmap.of(df.select(F.xxhash64("node").alias("h")), "h")
+        return Bitmap.of(df.select(F.xxhash64("node").alias("h")), "h", Bitmap.bits_for(df.count(), most=MARKS))
 
     paired = marks(near.select("node").unionByName(near.select(F.col("hub").alias("node"))))
     sets = sets_of(paired, None)

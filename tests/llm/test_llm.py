@@ -488,6 +488,35 @@ def test_near_duplicates(spark, docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_marks_are_as_large_as_the_pairs_ask_for(spark, monkeypatch):
+    from kickline.llm import near_dedup
+    df = spark.createDataFrame([(i, text(300 + i // 4, 60) + " end" * (i % 4)) for i in range(40)], "doc_id long, text string")
+    asked, of = [], near_dedup.Bitmap.of
+
+    def noted(rows, column, bits=1 << 26):
+        asked.append(bits)
+        return of(rows, column, bits)
+
+    monkeypatch.setattr(near_dedup.Bitmap, "of", noted)
+    found = [sorted(map(tuple, near_dedup.near_duplicates(df).collect()))]
+    assert asked and max(asked) <= 1 << 20
+    # bits that are nearly all set only let more rows pass
+    monkeypatch.setattr(near_dedup, "MARKS", 64)
+    found.append(sorted(map(tuple, near_dedup.near_duplicates(df).collect())))
+    assert min(asked) == 64 and found[0] == found[1] and {r[2] for r in found[0]} == set(range(0, 40, 4))
+
+
+def test_long_rows_travel_in_small_batches(spark):
+    import pyarrow as pa
+
+    from kickline.session import BATCH_BYTES, ship
+    df = spark.createDataFrame([(i, "x" * 40_000) for i in range(400)], "doc_id long, text string").coalesce(1)
+    sizes = lambda: [r.n for r in df.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+    ship(spark)
+    got = sizes()
+    assert sum(got) > 400 * 40_000 and max(got) < BATCH_BYTES + 100_000
+
+
 # -- the whole --------------------------------------------------------------------------------------------
 
 def test_sql_twins(spark):
