@@ -12,6 +12,7 @@ from kickline.sources.rename import MATCH_COLUMNS, RESULT_CODES, present_only, r
 from kickline.sources.versions import VersionedTable
 
 PAGE = 1000   # fixtures per landed page
+PAGES_PER_FILE = 64   # about a third of a megabyte each
 
 
 def _match_csv(spark, sf):
@@ -89,7 +90,8 @@ def s04(spark, sf):
 
     docs = pages.select("season", F.map_from_entries(F.transform("_all", fixture)).alias("doc"))
     path = scratch_path(spark, "s04")
-    docs.select("season", F.to_json("doc").alias("json")).write.parquet(path)
+    # a reader decodes up to 4,096 rows of a file at once, which would be gigabytes of pages
+    docs.select("season", F.to_json("doc").alias("json")).write.option("maxRecordsPerFile", PAGES_PER_FILE).parquet(path)
     wide = detailed.derive(detailed.parse(spark.read.parquet(path), "json", ["season"]))
     return rounded(wide.select("season", "fixture_id", "team_id", *_KEPT, "box_share", "pass_accuracy"), "box_share", "pass_accuracy")
 

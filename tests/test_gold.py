@@ -1,9 +1,10 @@
 """The match table on made tables whose gameweeks hold many matches of a team."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from kickline.plans import contract as ct, gold as plan
-from kickline.queries import ORACLE, QUERIES
+from kickline.queries import ORACLE, QUERIES, sources
 from tests.oracle_check import compare
 
 MADE = {
@@ -18,11 +19,16 @@ MADE = {
 }
 
 
-def test_only_rows_within_shown_frames_become_wide(spark, tmp_path, monkeypatch):
+def made(folder):
     con = duckdb.connect()
     for name, sql in MADE.items():
-        con.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
+        con.execute(f"COPY ({sql}) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet')")
+    return con
+
+
+def test_only_rows_within_shown_frames_become_wide(spark, tmp_path, monkeypatch):
+    con = made(tmp_path)
     written, write = {}, plan.stage
     monkeypatch.setattr(plan, "stage", lambda df, name, *a: written.setdefault(name, write(df, name, *a)))
     ok, message = compare(spark, con, str(tmp_path), "gold_match_core", QUERIES["gold_match_core"], ORACLE["gold_match_core"])
@@ -34,3 +40,14 @@ def test_only_rows_within_shown_frames_become_wide(spark, tmp_path, monkeypatch)
     assert written["team-base"].count() < matches
     assert all(len(df.columns) < len(ct.GOLD_COLUMNS) / 1.3 for df in written.values())
     assert all(len(df.columns) < 60 for df in written.values() if df.count() >= matches)
+
+
+def test_a_landed_file_of_statistics_holds_few_pages(spark, tmp_path, monkeypatch):
+    con, landed, parse = made(tmp_path), [], sources.detailed.parse
+    monkeypatch.setattr(sources, "PAGE", 1)
+    monkeypatch.setattr(sources.detailed, "parse", lambda raw, *a: (landed.append(raw), parse(raw, *a))[1])
+    name = "s04_detailed_stats_map"
+    ok, message = compare(spark, con, str(tmp_path), name, QUERIES[name], ORACLE[name])
+    assert ok, message
+    per_file = [r["count"] for r in landed[0].groupBy(F.input_file_name()).count().collect()]
+    assert sum(per_file) > 2000 and max(per_file) <= sources.PAGES_PER_FILE   # a reader holds as many rows of a file at once as it has, up to 4,096
