@@ -1,9 +1,12 @@
 """Learners work their rows out once, however often they pass over them."""
 
+import bisect
+import random
 import threading
 
 import pytest
 
+from kickline.operators.quantiles import medians
 from kickline.plans import learning as ln
 from tests.test_boosting import SCHEMA, rows
 
@@ -50,3 +53,24 @@ def test_seeds_are_fitted_side_by_side(spark):
 
     got = ln.seed_average(learner, train, test, ["a", "b", "c"], seeds=[1, 2], trees=2).collect()
     assert len(got) == 30 and all(sum(r[p] for p in ln.PROBS) == pytest.approx(1) for r in got)
+
+
+def test_medians_of_all_columns_in_one_pass(spark):
+    rng = random.Random(5)
+    made = [(rng.gauss(0, 1), float(i % 7), None if i % 3 else float("nan") if i % 2 else 2.0 * i, None) for i in range(5000)]
+    df = spark.createDataFrame(made, "a double, b double, c double, d double").repartition(3)
+    got = medians(df, ["a", "b", "c", "d"])
+    a, c = sorted(r[0] for r in made), sorted(r[2] for r in made if r[2] is not None and r[2] == r[2])
+    assert abs(bisect.bisect(a, got["a"]) - 2500) <= 5 and got["b"] == 3.0 and got["d"] is None
+    assert got["c"] == c[(len(c) - 1) // 2]   # few numbers: exact
+    assert medians(df.filter("a > 100"), ["a"]) == {"a": None}
+
+
+def test_imputers_take_the_medians_without_a_search_of_their_own(spark, monkeypatch):
+    searched = []
+    fit = ln.Imputer._fit
+    monkeypatch.setattr(ln.Imputer, "_fit", lambda self, df: (searched.append(df.count()), fit(self, df))[1])
+    train = spark.createDataFrame(rows(300, 1), SCHEMA)
+    filled = ln.prepare(train, ["a", "b", "c"], True).stages[0].transform(train)
+    c = sorted(r.c for r in train.collect() if r.c is not None)
+    assert searched == [1] and filled.filter("c IS NULL").select("c__f").distinct().collect() == [(c[(len(c) - 1) // 2],)]
