@@ -35,6 +35,16 @@ def test_trailing_days_keep_rows_without_a_time_or_key(either, spark):
     assert len(got) == len(rows)
 
 
+def test_trailing_days_of_wanted_rows_equal_those_of_all(either, spark):
+    rng = random.Random(13)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(12)]), i // 2 if i < 30 else i) for i in range(90)]
+    rows = [(k, None if t is None else t * DAY_US // 2, i) for k, t, i in [*rows, rows[-1], rows[-1]]]
+    df, days = spark.createDataFrame(rows, "k string, t long, id long"), {"d1": 1, "d3": 3}
+    some = trailing_day_counts(df, ["k"], "t", days, wanted=F.col("id") % 3 == 2)
+    every = trailing_day_counts(df, ["k"], "t", days).filter("id % 3 = 2")
+    assert some.dtypes == every.dtypes and sorted(map(repr, some.collect())) == sorted(map(repr, every.collect()))
+
+
 def test_trailing_days_have_no_sliding_frame(spark):
     df = spark.createDataFrame([("a", 1, 1)], "k string, t long, id long")
     frames = plan(trailing_day_counts(df, ["k"], "t", {"d7": 7}))
